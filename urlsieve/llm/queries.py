@@ -1,7 +1,7 @@
 """All queries of this subpackage and their SQL."""
 
-from . import collapse, heavy, seen
+from . import collapse, heavy, lookalike, seen
 
-MODULES = (seen, heavy, collapse)
+MODULES = (seen, lookalike, heavy, collapse)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
