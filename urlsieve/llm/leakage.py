@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from ..runtime import table
 from .wikitext import inline
 
-Q = 7
+#: Characters of a gram (bytes, in UTF-8): a power of two, as hashes of halves combine.
+Q = 8
 MIN_WORDS = 25
 #: One word in this many may be changed, dropped or added.
 EDIT_EVERY = 12
@@ -34,10 +35,28 @@ SHARED_OPENING = 3
 SLICE_CHARS = 16 << 20
 
 _WORD = re.compile(r"[^\W_]+")
+_ODD = re.compile(r"[^\w\x00-\x7f]+")
+_ASCII_GAPS = bytes(b for b in range(128) if not chr(b).isalnum())
+
+
+def _plain(text: str) -> str:
+    return (text if text.isascii() or unicodedata.is_normalized("NFKC", text) else unicodedata.normalize("NFKC", text)).casefold()
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(unicodedata.normalize("NFKC", text).casefold())
+    return _WORD.findall(_plain(text))
+
+
+def squeezed(text: str) -> np.ndarray:
+    """The words of a text without what lies between them, as the bytes of their UTF-8 form."""
+    text = _plain(text)
+    if not text.isascii():
+        text = _ODD.sub("", text)
+    return np.frombuffer(text.encode("utf-8", "replace").translate(None, _ASCII_GAPS), np.uint8)
+
+
+def lengths(w: list[str]) -> np.ndarray:
+    return np.fromiter((len(x) if x.isascii() else len(x.encode("utf-8", "replace")) for x in w), np.int64, len(w))
 
 
 def passages(items: list[tuple[int, str | None]]) -> list[tuple[int, list[str]]]:
@@ -59,28 +78,25 @@ def passages(items: list[tuple[int, str | None]]) -> list[tuple[int, list[str]]]
     return out
 
 
-def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+_MIX = np.arange(256, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def qgrams(codes: np.ndarray) -> np.ndarray:
-    """Rolling 64-bit hashes of all q-grams."""
-    n = len(codes) - Q + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    for i in range(Q):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + n] + np.uint64(1)
-    return h ^ (h >> np.uint64(29))
+    """64-bit hashes of all q-grams: grams of twice the length from two of the half."""
+    h, n = _MIX.take(codes), 1
+    while n < Q:
+        h = h[:-n] * np.uint64(0xC2B2AE3D27D4EB4F) + (h[n:] ^ (h[n:] >> np.uint64(31)))
+        n *= 2
+    return h
 
 
 def threshold(w: list[str]) -> int:
     """q-grams that MIN_WORDS words keep at least when the allowed number of them is changed, over all windows."""
     edits = MIN_WORDS // EDIT_EVERY
-    lengths = np.array([len(x) for x in w])
+    size = lengths(w)
     least = None
     for a in range(len(w) - MIN_WORDS + 1):
-        part = lengths[a : a + MIN_WORDS]
+        part = size[a : a + MIN_WORDS]
         # a changed word spoils its own grams and those that reach into it
         kept = part.sum() - Q + 1 - np.sort(part + Q - 1)[-edits:].sum()
         least = kept if least is None else min(least, kept)
@@ -91,11 +107,11 @@ class Index:
     def __init__(self, items: list[tuple[int, list[str]]]) -> None:
         self.ids = [i for i, _ in items]
         self.words = [w for _, w in items]
-        self.starts = [np.cumsum([0, *map(len, w)]) for w in self.words]  # character at which each word starts
+        self.starts = [np.concatenate([[0], np.cumsum(lengths(w))]) for w in self.words]  # byte at which each word starts
         self.least = np.array([threshold(w) for w in self.words] or [0])
         grams, item, at = [], [], []
         for k, w in enumerate(self.words):
-            g = qgrams(_codes("".join(w)))
+            g = qgrams(squeezed("".join(w)))
             grams.append(g)
             item.append(np.full(len(g), k))
             at.append(np.arange(len(g)))
@@ -104,15 +120,20 @@ class Index:
         self.item = np.concatenate(item)[order] if grams else np.empty(0, np.int64)
         self.at = np.concatenate(at)[order] if grams else np.empty(0, np.int64)
         self.gram, self.first, self.count = np.unique(g[order], return_index=True, return_counts=True)
+        # a cell per upper bits: most grams of a document are dismissed by one look-up
+        self.shift = np.uint64(64 - max(16, min(24, int(len(self.gram) * 16).bit_length())))
+        self.cell = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.cell[self.gram >> self.shift] = True
 
     def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(item, position in the document, position in the passage) of every common q-gram."""
         if not len(self.gram) or not len(grams):
             e = np.empty(0, np.int64)
             return e, e, e
-        i = np.minimum(np.searchsorted(self.gram, grams), len(self.gram) - 1)
-        pos = np.flatnonzero(self.gram[i] == grams)
-        i = i[pos]
+        pos = np.flatnonzero(self.cell[grams >> self.shift])
+        i = np.minimum(np.searchsorted(self.gram, grams[pos]), len(self.gram) - 1)
+        same = self.gram[i] == grams[pos]
+        pos, i = pos[same], i[same]
         n = self.count[i]
         flat = np.repeat(self.first[i] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         return self.item[flat], np.repeat(pos, n), self.at[flat]
@@ -121,35 +142,52 @@ class Index:
         """Ids of the items whose passage occurs in the text."""
         if not text or len(text) < 2 * MIN_WORDS:
             return []
-        w = words(inline(text))
-        if len(w) < MIN_WORDS - MIN_WORDS // EDIT_EVERY:
-            return []
-        item, at, frm = self.hits(qgrams(_codes("".join(w))))
-        if len(item) < self.least.min():
+        text = inline(text)
+        item, at, frm = self.hits(qgrams(squeezed(text)))
+        # no band of an item holds more than all of its hits
+        worth = np.bincount(item, minlength=len(self.ids)) >= self.least
+        if not worth.any():
             return []
+        keep = worth[item]
+        item, at, frm = item[keep], at[keep], frm[keep]
+        w = words(text)
         diagonal = at - frm + (1 << 40)
         half = BAND // 2
         found = []
-        starts = None
+        starts = np.concatenate([[0], np.cumsum(lengths(w))])
         # every diagonal lies in two bands
         band = np.concatenate([diagonal // half, diagonal // half - 1])
         code = np.concatenate([item, item]).astype(np.int64) * (1 << 44) + band
         values, inverse, n = np.unique(code, return_inverse=True, return_counts=True)
-        good = n >= self.least[values >> 44]
-        for k in dict.fromkeys((values[good] >> 44).tolist()):
-            if starts is None:
-                starts = np.cumsum([0, *map(len, w)])
-            for v in np.flatnonzero(good & ((values >> 44) == k)):
-                rows = np.flatnonzero(inverse == v) % len(item)
-                a = max(0, int(np.searchsorted(starts, at[rows].min(), "right")) - 1 - MIN_WORDS)
-                b = min(len(w), int(np.searchsorted(starts, at[rows].max() + Q, "left")) + MIN_WORDS)
-                shift = int(np.median(np.searchsorted(starts, at[rows], "right") - np.searchsorted(self.starts[k], frm[rows], "right")))
-                if aligned(self.words[k], w[a:b], shift - a):
-                    found.append(self.ids[k])
-                    break
+        good = np.flatnonzero(n >= self.least[values >> 44])
+        for v in good[np.argsort(-n[good], kind="stable")]:
+            k = int(values[v] >> 44)
+            if self.ids[k] in found:
+                continue
+            rows = np.flatnonzero(inverse == v) % len(item)
+            dw = np.searchsorted(starts, at[rows], "right") - 1
+            pw = np.searchsorted(self.starts[k], frm[rows], "right") - 1
+            a, b = max(0, int(dw.min()) - MIN_WORDS), min(len(w), int(dw.max()) + 2 + MIN_WORDS)
+            c, e = max(0, int(pw.min()) - MIN_WORDS), min(len(self.words[k]), int(pw.max()) + 2 + MIN_WORDS)
+            shift = int(np.median(dw - pw))
+            if straight(self.words[k], w, np.unique(dw - pw)) or aligned(self.words[k][c:e], w[a:b], shift - a + c):
+                found.append(self.ids[k])
         return found
 
 
+def straight(p: list[str], d: list[str], shifts: np.ndarray) -> bool:
+    """Whether MIN_WORDS words of p in a row stand in d on one of the diagonals, but for exchanged words."""
+    for s in shifts.tolist():
+        lo, hi = max(0, -s), min(len(p), len(d) - s)
+        if hi - lo < MIN_WORDS:
+            continue
+        bad = np.fromiter((p[i] != d[i + s] for i in range(lo, hi)), np.int64, hi - lo)
+        run = np.concatenate([[0], np.cumsum(bad)])
+        if ((run[MIN_WORDS:] - run[:-MIN_WORDS]) * EDIT_EVERY <= MIN_WORDS).any():
+            return True
+    return False
+
+
 def aligned(p: list[str], d: list[str], shift: int, width: int = 16) -> bool:
     """Whether MIN_WORDS or more words of p in a row occur in d near the diagonal with one edit in EDIT_EVERY at most.
 
