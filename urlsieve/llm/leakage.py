@@ -31,6 +31,8 @@ BAND = 96
 FRAME_WORDS = 14
 #: Items that must share an opening before it counts as an instruction.
 SHARED_OPENING = 3
+#: Verdicts on regions that a task remembers.
+KNOWN_REGIONS = 2000
 #: Largest benchmark text that is sent to every executor; above it, items are taken in slices, a pass each.
 SLICE_CHARS = 16 << 20
 
@@ -108,6 +110,7 @@ class Index:
         self.ids = [i for i, _ in items]
         self.words = [w for _, w in items]
         self.starts = [np.concatenate([[0], np.cumsum(lengths(w))]) for w in self.words]  # byte at which each word starts
+        self.known: dict[tuple, bool] = {}
         self.least = np.array([threshold(w) for w in self.words] or [0])
         grams, item, at = [], [], []
         for k, w in enumerate(self.words):
@@ -170,7 +173,13 @@ class Index:
             a, b = max(0, int(dw.min()) - MIN_WORDS), min(len(w), int(dw.max()) + 2 + MIN_WORDS)
             c, e = max(0, int(pw.min()) - MIN_WORDS), min(len(self.words[k]), int(pw.max()) + 2 + MIN_WORDS)
             shift = int(np.median(dw - pw))
-            if straight(self.words[k], w, np.unique(dw - pw)) or aligned(self.words[k][c:e], w[a:b], shift - a + c):
+            # revisions repeat their paragraphs: the same region is aligned once
+            region = (k, c, e, shift - a + c, *w[a:b])
+            if region not in self.known:
+                if len(self.known) >= KNOWN_REGIONS:
+                    self.known.clear()
+                self.known[region] = straight(self.words[k][c:e], w[a:b], np.unique(dw - a - pw + c)) or aligned(self.words[k][c:e], w[a:b], shift - a + c)
+            if self.known[region]:
                 found.append(self.ids[k])
         return found
 
