@@ -108,8 +108,7 @@ def mapping(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "ch string, parts array<struct<ch: string, ccc: int>>")
 
 
-@F.pandas_udf("string")
-def recompose(text: pd.Series) -> pd.Series:
+def _recompose(text: pd.Series) -> pd.Series:
     return text.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore")
 
 
@@ -131,7 +130,7 @@ def forms(values: DataFrame) -> DataFrame:
     starter = F.sum(F.when(F.col("ccc") == 0, 1).otherwise(0)).over(order)
     placed = parts.select("value", F.struct(starter.alias("seg"), F.coalesce("ccc", F.lit(0)).alias("ccc"), "pos", "sub", "c").alias("p"))
     rebuilt = placed.groupBy("value").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["c"]), "").alias("d"))
-    return plain.unionAll(rebuilt.select("value", recompose("d").alias("form")))
+    return plain.unionAll(rebuilt.select("value", F.pandas_udf(_recompose, "string")("d").alias("form")))
 
 
 def consistent(df: DataFrame, column: str, out: str) -> DataFrame:
