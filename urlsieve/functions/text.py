@@ -44,12 +44,9 @@ def tokens(c: Column) -> Column:
 def entropy(c: Column) -> Column:
     """TXT-3: Shannon entropy in bits a character; 0.0 for the empty string."""
     chars = F.split(c, "")
-    n = F.size(chars).cast("double")
-    total = F.aggregate(
-        F.array_distinct(chars),
-        F.lit(0.0),
-        lambda acc, ch: acc - (F.size(F.filter(chars, lambda x: x == ch)) / n) * F.log2(F.size(F.filter(chars, lambda x: x == ch)) / n),
-    )
+    n = F.length(c).cast("double")
+    shares = F.transform(F.array_distinct(chars), lambda ch: F.size(F.filter(chars, lambda x: x == ch)) / n)
+    total = F.aggregate(shares, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
     return F.when(c == "", F.lit(0.0)).otherwise(total)
 
 
