@@ -111,7 +111,7 @@ def brand_candidates(df: DataFrame, config: Config) -> DataFrame:
         one = (b["size"] >= 6) & (gap <= 1) & (F.levenshtein(fold, b["brand"], 2) >= 0)
         two = (b["size"] >= 9) & (gap <= 2) & (F.levenshtein(fold, b["brand"], 4) >= 0)
         if exact:
-            return F.when(two, osa(fold, b["brand"]) <= 2).when(one, osa(fold, b["brand"]) <= 1).otherwise(F.lit(False))
+            return F.when(one | two, osa(fold, b["brand"]) <= F.when(two, 2).otherwise(1)).otherwise(F.lit(False))
         return one | two
 
     def like(b: Column, i: int) -> Column:

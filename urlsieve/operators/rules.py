@@ -120,16 +120,8 @@ def catalogue(config: Config) -> dict[str, list[Rule]]:
     brands = F.array(*map(F.lit, config.brands))
     idn = lambda: c("host").rlike(r"(^|\.)xn--|[^\x00-\x7f]")
     name = lambda: ~c("is_ip")
-    host_points = lambda: F.least(6 * F.size("strong_h") + 3 * F.size("weak_h"), F.lit(20))
-    path_points = lambda: F.least(3 * F.size("strong_p") + F.size("weak_p"), F.lit(8))
-    redirecting = lambda: F.filter("params", lambda p: p["key"].isin(R.REDIRECT_PARAMS))
-    off_site = lambda: F.get(F.filter(redirecting(), lambda p: p["domain"].isNotNull() & (p["domain"] != c("registered_domain"))), 0)["domain"]
-    failed = lambda: F.coalesce(off_site() == "!", F.lit(False))
-    segments = lambda: F.size(F.filter(F.split("path", "/"), lambda x: x != ""))
-    n_params = lambda: F.size(F.filter(F.split("query", "[&;]"), lambda x: x != ""))
-    file_name = F.substring_index("file_text", "/", -1)
-    exts = lambda: F.when(file_name.contains("."), F.slice(F.split(file_name, r"\."), 2, 1 << 20))
-    last, before = lambda: F.try_element_at(exts(), F.lit(-1)), lambda: F.when(F.size(exts()) >= 2, F.try_element_at(exts(), F.lit(-2)))
+    failed = lambda: c("x_failed")
+    last, before = lambda: c("x_last"), lambda: c("x_before")
     port = lambda: F.when(~c("port_invalid") & (c("port") > 0), c("port"))
     tld = lambda: F.substring_index("suffix", ".", -1)
     return {
@@ -156,18 +148,18 @@ def catalogue(config: Config) -> dict[str, list[Rule]]:
             Rule("R21", "structure", 10, lambda: name() & ~c("host").contains("."), _text("host without a suffix")),
         ],
         "host": [
-            *_ladder(lambda: F.when(name(), F.size(F.filter(F.split("subdomain", r"\."), lambda x: x != ""))), [("R22", 4, 15), ("R23", 3, 10), ("R24", 2, 3)], "structure", "labels before the name"),
-            *_ladder(lambda: F.when(name(), F.length(F.regexp_replace("host_uni", "[^-]", ""))), [("R25", 5, 12), ("R26", 3, 8)], "structure", "hyphens in the host"),
+            *_ladder(lambda: c("x_depth"), [("R22", 4, 15), ("R23", 3, 10), ("R24", 2, 3)], "structure", "labels before the name"),
+            *_ladder(lambda: c("x_hyphens"), [("R25", 5, 12), ("R26", 3, 8)], "structure", "hyphens in the host"),
             Rule("R27", "structure", 10, lambda: name() & (c("uni_digits") >= 6), _text("digits in the host")),
             Rule("R28", "structure", 8, lambda: name() & c("host_uni").rlike("[._-]{3,}"), _text("separators in a row")),
-            Rule("R29", "structure", 10, lambda: name() & c("random_sld"), _text("random-looking label %s", "sld_uni")),
+            Rule("R29", "structure", 10, lambda: name() & c("x_random"), _text("random-looking label %s", "sld_uni")),
         ],
         "lexical": [
-            Rule("R30", "lexical", host_points, lambda: ~failed() & (host_points() > 0), lambda: F.concat(F.lit("words in the host: "), F.array_join(F.array_sort(F.array_union("strong_h", "weak_h")), ", "))),
-            Rule("R31", "lexical", path_points, lambda: ~failed() & (path_points() > 0), lambda: F.concat(F.lit("words in the path: "), F.array_join(F.array_sort(F.array_union("strong_p", "weak_p")), ", "))),
+            Rule("R30", "lexical", lambda: c("x_host_points"), lambda: ~failed() & (c("x_host_points") > 0), lambda: F.concat(F.lit("words in the host: "), F.array_join(F.array_sort(F.array_union("strong_h", "weak_h")), ", "))),
+            Rule("R31", "lexical", lambda: c("x_path_points"), lambda: ~failed() & (c("x_path_points") > 0), lambda: F.concat(F.lit("words in the path: "), F.array_join(F.array_sort(F.array_union("strong_p", "weak_p")), ", "))),
             Rule("R32", "lexical", 15, lambda: ~failed() & c("embedded").rlike("https?://"), _text("URL inside the URL")),
-            Rule("R33", "lexical", 10, lambda: ~failed() & (F.size(redirecting()) > 0), lambda: F.concat(F.lit("redirect parameters: "), F.array_join(F.array_sort(F.array_distinct(F.transform(redirecting(), lambda p: p["key"]))), ", "))),
-            Rule("R34", "lexical", 10, lambda: ~failed() & off_site().isNotNull(), lambda: F.concat(F.lit("parameter leads to "), off_site())),
+            Rule("R33", "lexical", 10, lambda: ~failed() & (F.size("x_redirecting") > 0), lambda: F.concat(F.lit("redirect parameters: "), F.array_join(F.array_sort(F.array_distinct(F.transform("x_redirecting", lambda p: p["key"]))), ", "))),
+            Rule("R34", "lexical", 10, lambda: ~failed() & c("x_target").isNotNull(), lambda: F.concat(F.lit("parameter leads to "), c("x_target"))),
             Rule("I2", "info", 0, failed, _text("words could not be checked")),
         ],
         "hosting": [
@@ -187,8 +179,8 @@ def catalogue(config: Config) -> dict[str, list[Rule]]:
             Rule("R62", "transport", 4, lambda: ~port().isin(*config.suspicious_ports, 80, 443), _text("port %d", "port")),
         ],
         "path": [
-            *_ladder(segments, [("R70", 8, 10), ("R71", 5, 5)], "structure", "deep path"),
-            *_ladder(n_params, [("R72", 10, 10), ("R73", 6, 5)], "structure", "many parameters"),
+            *_ladder(lambda: c("x_segments"), [("R70", 8, 10), ("R71", 5, 5)], "structure", "deep path"),
+            *_ladder(lambda: c("x_params"), [("R72", 10, 10), ("R73", 6, 5)], "structure", "many parameters"),
             Rule("R74", "structure", 8, lambda: F.length("query") > 500, _text("long query")),
         ],
         "payload": [
@@ -209,7 +201,25 @@ def group_column(rules: list[Rule]) -> Column:
 
 def static_groups(df: DataFrame, config: Config, groups: list[str] | None = None) -> DataFrame:
     """Adds one array column g_<group> per rule group (R16 among those of deception)."""
-    s = df.withColumn("random_sld", looks_random(F.col("sld_uni")))
+    file_name = F.substring_index("file_text", "/", -1)
+    redirecting = F.filter("params", lambda p: p["key"].isin(R.REDIRECT_PARAMS))
+    # what several rules use is a column of its own, so that the plan holds it once
+    s = df.withColumns(
+        {
+            "x_random": looks_random(F.col("sld_uni")),
+            "x_host_points": F.least(6 * F.size("strong_h") + 3 * F.size("weak_h"), F.lit(20)),
+            "x_path_points": F.least(3 * F.size("strong_p") + F.size("weak_p"), F.lit(8)),
+            "x_redirecting": redirecting,
+            "x_segments": F.size(F.filter(F.split("path", "/"), lambda x: x != "")),
+            "x_params": F.size(F.filter(F.split("query", "[&;]"), lambda x: x != "")),
+            "x_exts": F.when(file_name.contains("."), F.slice(F.split(file_name, r"\."), 2, 1 << 20)),
+            "x_depth": F.when(~F.col("is_ip"), F.size(F.filter(F.split("subdomain", r"\."), lambda x: x != ""))),
+            "x_hyphens": F.when(~F.col("is_ip"), F.length(F.regexp_replace("host_uni", "[^-]", ""))),
+        }
+    )
+    off_site = F.get(F.filter("x_redirecting", lambda p: p["domain"].isNotNull() & (p["domain"] != F.col("registered_domain"))), 0)["domain"]
+    s = s.withColumns({"x_target": off_site, "x_last": F.try_element_at("x_exts", F.lit(-1)), "x_before": F.when(F.size("x_exts") >= 2, F.try_element_at("x_exts", F.lit(-2)))})
+    s = s.withColumn("x_failed", F.coalesce(F.col("x_target") == "!", F.lit(False)))
     made = {}
     for group, rules in catalogue(config).items():
         if groups is None or group in groups:
@@ -217,7 +227,7 @@ def static_groups(df: DataFrame, config: Config, groups: list[str] | None = None
     if "g_deception" in made:
         bad = F.transform("bad_labels", lambda b: F.struct(F.lit("R16").alias("rule_id"), F.lit("deception").alias("category"), F.lit(BAD_LABEL_POINTS).alias("points"), F.concat(F.lit("label can't be decoded: "), b).alias("message")))
         made["g_deception"] = F.concat(made["g_deception"], F.when(~F.col("is_ip"), bad.cast(_RAW)).otherwise(F.array().cast(_RAW)), made.pop("g_deception_2", F.array().cast(_RAW)))
-    return s.withColumns(made)
+    return s.withColumns(made).drop(*[c for c in s.columns if c.startswith("x_")])
 
 
 def numbered(raw: Column) -> Column:

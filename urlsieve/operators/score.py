@@ -24,7 +24,7 @@ def compute_score(indicators: Column, allowlisted: Column, config: Config) -> Co
         soft = F.coalesce(allowlisted, F.lit(False)) & F.coalesce(cat.isin(R.SOFT_CATEGORIES), F.lit(False))
         return acc + F.when(soft, capped.cast("double") * F.lit(float(config.allowlist_factor))).otherwise(capped.cast("double"))
 
-    summed = F.least(F.rint(F.aggregate(categories, F.lit(0.0), total)), F.lit(100.0)).cast("int")
+    summed = F.least(F.coalesce(F.rint(F.aggregate(categories, F.lit(0.0), total)), F.lit(0.0)), F.lit(100.0)).cast("int")
     forced = F.exists(indicators, lambda i: i["points"] >= 100)
     return F.when(F.coalesce(forced, F.lit(False)), 100).otherwise(F.coalesce(summed, F.lit(0)))
 
