@@ -89,7 +89,7 @@ def events(text: str) -> Iterator[tuple[str, str | None]]:
 
 def snake(name: str) -> str:
     """One writing for a field's name: resolvedIps, Resolved-IPs and resolved_ips agree."""
-    name = re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_", name.strip())
+    name = re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z](?:[a-rt-z]|s[a-z]))", "_", name.strip())
     return re.sub(r"[^0-9a-z\x80-\U0010ffff]+", "_", name.lower()).strip("_")
 
 

@@ -123,7 +123,7 @@ def walk(starts: DataFrame, hops: DataFrame, dns: DataFrame, options: Options, n
         more = rules(
             blocked,
             rule("N14", "tls", 15, F.concat(F.lit("certificate not trusted: "), F.col("h_host")), warn),
-            rule("N15", "tls", 8, "certificate is new", fetched & (age <= YOUNG_CERTIFICATE)),
+            rule("N15", "tls", 8, "certificate is new", fetched & F.col("cert_not_before").isNotNull() & (age <= YOUNG_CERTIFICATE)),
             rule("N16", "network", 10, "too many redirects", leads & F.col("next.url").isNotNull() & F.lit(too_many)),
             rule("N17", "network", 8, "redirect loop", leads & F.col("next.url").isNotNull() & F.lit(not too_many) & loop),
         )
@@ -171,7 +171,8 @@ def domain_ages(rdap: DataFrame, now: Column) -> DataFrame:
     dates = F.transform(F.filter(F.coalesce("events", F.array().cast("array<struct<eventAction: string, eventDate: string>>")), lambda e: (e["eventAction"] == "registration") & (F.coalesce(e["eventDate"], F.lit("")) != "")), lambda e: e["eventDate"])
     s = rdap.select("domain", "error", event_times(dates).alias("times"))
     first = F.get(F.filter("times", lambda t: t.isNotNull()), 0)
-    age = F.greatest(F.floor((F.unix_micros(now.cast("timestamp")) - F.unix_micros(first)) / 86_400_000_000), F.lit(0)).cast("int")
+    days = F.floor((F.unix_micros(now.cast("timestamp")) - F.unix_micros(first)) / 86_400_000_000)
+    age = F.when(first.isNotNull(), F.greatest(days, F.lit(0))).cast("int")  # greatest() would pass over a null
     return s.select("domain", F.when(F.col("error").isNull(), age).alias("age"), F.coalesce("error", F.when(age.isNull(), F.lit("no registration date"))).alias("error"))
 
 
