@@ -192,7 +192,8 @@ def straight(p: list[str], d: list[str], shifts: np.ndarray) -> bool:
             continue
         bad = np.fromiter((p[i] != d[i + s] for i in range(lo, hi)), np.int64, hi - lo)
         run = np.concatenate([[0], np.cumsum(bad)])
-        if ((run[MIN_WORDS:] - run[:-MIN_WORDS]) * EDIT_EVERY <= MIN_WORDS).any():
+        ends = (bad[: len(bad) - MIN_WORDS + 1] == 0) & (bad[MIN_WORDS - 1 :] == 0)
+        if (((run[MIN_WORDS:] - run[:-MIN_WORDS]) * EDIT_EVERY <= MIN_WORDS) & ends).any():
             return True
     return False
 
@@ -201,7 +202,8 @@ def aligned(p: list[str], d: list[str], shift: int, width: int = 16) -> bool:
     """Whether MIN_WORDS or more words of p in a row occur in d near the diagonal with one edit in EDIT_EVERY at most.
 
     Banded local alignment by words, a match 1, an edit -2; two words written as one, or one as two, are no edit. The
-    best path is then cut into words of p with their edits, and all its stretches are tried.
+    best path is then cut into words of p with their edits, and all its stretches that start and end with a word that
+    matches are tried.
     """
     n, m = len(p), len(d)
     score = [[0] * (m + 1) for _ in range(n + 1)]
@@ -251,7 +253,7 @@ def aligned(p: list[str], d: list[str], shift: int, width: int = 16) -> bool:
     for a in range(first, last - MIN_WORDS + 1):
         b = np.arange(a + MIN_WORDS, last + 1)
         bad = run[b] - run[a] + inner[b] - inner[a + 1]
-        if (bad * EDIT_EVERY <= b - a).any():
+        if edits[a] == 0 and ((bad * EDIT_EVERY <= b - a) & (edits[b - 1] == 0)).any():
             return True
     return False
 

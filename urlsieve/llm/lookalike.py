@@ -136,8 +136,8 @@ def forms(values: DataFrame) -> DataFrame:
 def consistent(df: DataFrame, column: str, out: str) -> DataFrame:
     """df with `out`: the consistent form of df[column]; null stays null. Each distinct non-ASCII value is worked once."""
     is_ascii = F.col(column).rlike(r"^[\x00-\x7f]*$")
-    made = forms(df.filter(~is_ascii).select(F.col(column).alias("value")).distinct()).withColumnRenamed("form", "__form")
-    joined = df.join(made, df[column] == made["value"], "left").drop("value")
+    made = forms(df.filter(~is_ascii).select(F.col(column).alias("value")).distinct()).select(F.col("value").alias("__value"), F.col("form").alias("__form"))
+    joined = df.join(made, F.col(column) == F.col("__value"), "left").drop("__value")
     return joined.withColumn(out, F.coalesce("__form", F.col(column))).drop("__form")
 
 
