@@ -86,7 +86,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     if spark is None:
         from pyspark.sql import SparkSession
 
-        spark = SparkSession.builder.appName("urlsieve").config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+        spark = SparkSession.builder.appName("urlsieve").config("spark.driver.memory", "4g").config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate()
         spark.sparkContext.setLogLevel("INFO" if a.debug else "ERROR")
     from .operators.evaluate import evaluate
     from .plans.analyze import analyze

@@ -37,7 +37,7 @@ def evaluate(good: DataFrame, bad: DataFrame, config=None, url: str = "url") ->
     from ..plans.analyze import analyze
 
     config = config or get_default_config()
-    score = lambda df, flag: analyze(df, url, config).select("score", F.lit(flag).alias("bad"))
-    scores = score(good, False).unionAll(score(bad, True))
+    both = good.select(F.col(url).alias("url"), F.lit(False).alias("bad")).unionAll(bad.select(F.col(url).alias("url"), F.lit(True).alias("bad")))
+    scores = analyze(both, "url", config, keep=["bad"]).select("score", "bad")
     rated = metrics(scores, [*SWEEP, config.medium_threshold, config.high_threshold])
     return rated, best(rated.filter(F.col("threshold").isin(SWEEP)))

@@ -11,6 +11,7 @@ from ..functions.urls import parse
 from ..operators.brand import brand_candidates, brand_indicators
 from ..operators.rules import keywords, numbered, static_groups, texts
 from ..operators.score import classify, compute_score, ordered
+from ..runtime import ship
 
 #: Emission order of the groups.
 ORDER = ("defanged", "scheme", "length", "deception", "host", "lexical", "hosting", "encoding", "ports", "path", "payload", "brand")
@@ -95,6 +96,7 @@ def analyze(
     `keep` must not be named like result columns.
     """
     config, options, keep = config or get_default_config(), options or Options(), keep or []
+    ship(df.sparkSession)
     names = {k: f"__keep_{i}" for i, k in enumerate(keep)}
     s = df.select(F.col(url).alias("__given"), *[F.col(k).alias(v) for k, v in names.items()])
     s = static_indicators(facts(s, "__given", config))
