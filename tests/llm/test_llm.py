@@ -203,6 +203,59 @@ def test_leaks(spark):
     assert leakage.leaks(df, "d", "text", []).count() == 0
 
 
+def by_definition(p, d):
+    """Whether 25 words or more of p stand somewhere in d with one edit in 12 at most, by trying all stretches."""
+    for a in range(len(p) - 24):
+        row = [0] * (len(d) + 1)
+        for i in range(a, len(p)):
+            new = [row[0] + 1]
+            for j in range(1, len(d) + 1):
+                new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (p[i] != d[j - 1])))
+            row = new
+            if i - a >= 24 and min(row) * 12 <= i - a + 1:
+                return True
+    return False
+
+
+@pytest.mark.parametrize("letters,least,most", [("abcdefghijklmnop", 1, 3), ("abcdefghijklmnop", 2, 9), ("abcdefghijklmnop", 50, 50), ("абвгдежзийклмн", 14, 14), ("абвгдежзийклмн", 26, 26)])
+def test_leaks_lose_nothing(letters, least, most):
+    true = found = 0
+    for seed in range(30):
+        r = random.Random(seed)
+        word = lambda: "".join(r.choice(letters) for _ in range(r.randint(least, most)))
+        p = [word() for _ in range(r.randint(25, 60))]
+        size = r.randint(25, len(p))
+        a = r.randint(0, len(p) - size)
+        d = p[a : a + size]
+        for _ in range(r.randint(0, size // 12 + 1)):
+            k = r.randrange(1, len(d) - 1)
+            d[k : k + r.randint(0, 1)] = [word() for _ in range(r.randint(0, 1))]
+        # a stretch over the budget in the same region must not hide the one within it
+        before = [x if i % 5 else word() for i, x in enumerate(p[:a])]
+        doc = [word() for _ in range(10)] + before + d + [word() for _ in range(10)]
+        hit = bool(leakage.Index([(1, p)]).leaked(" ".join(doc)))
+        want = by_definition(p, doc)
+        true, found = true + want, found + (want and hit)
+        assert want or not hit
+    assert true > 15 and found == true
+
+
+def test_leaks_whatever_the_benchmark(spark, monkeypatch):
+    w = item(60, 1)
+    text = "Read the passage and answer the question. " + " ".join(w) + ". Why?"
+    assert leakage.passage(text) == w and leakage.passage(None) == [] and leakage.passage("Beantworte die Frage. a b? c?") == ["a", "b"]
+    df = frame(spark, [(1, " ".join(w[:20]) + "".join(w[20:31])), (2, "Read the passage and answer the question. " + " ".join(w[:20]))], "d bigint, text string")
+    items = [(i, text) for i in range(5)]
+    assert leakage.leaks(df, "d", "text", items).count() == 5
+    monkeypatch.setattr(leakage, "MAX_INDEX_BYTES", 1)  # a slice an item
+    assert leakage.leaks(df, "d", "text", items).count() == 5
+
+
+def test_template_texts():
+    long = " ".join(item(30, 3))
+    assert wikitext.inline("{{q|a b|text=" + long + "|" + long + "}}").split() == (long + " " + long).split()
+
+
 def test_wikitext():
     assert wikitext.inline("a{{b|{{c}}}} [[d|e]]<ref name=x>f</ref>''g''&amp;<!-- h -->{{open") == "a e" + "g&{{open"
     assert wikitext.inline("[[Category:X]][[y]]") == "y"

@@ -74,14 +74,14 @@ def running_text(segment: str) -> str:
     Headings, lists, tables, redirects and template lines are dropped, markup inside sentences is undone, foreign
     words set in italics between brackets are left out.
     """
-    if len(segment) < 2 * MIN_WORDS:
+    if len(segment) < 2 * MIN_WORDS - 1:
         return ""
     text = inline(_ASIDE.sub("", segment) if "(" in segment else segment)
     if "{{" in text or "}}" in text:
         text = _HALF.sub("", text)
     lines = [s.lstrip(" :\t") for s in text.split("\n") if s and not _NOT_PROSE.match(s)]
     text = " ".join(lines).strip()
-    if len(text) < 2 * MIN_WORDS:
+    if len(text) < 2 * MIN_WORDS - 1:
         return ""
     # letters at random have no blanks; marks standing alone are no words
     parts = text.split()

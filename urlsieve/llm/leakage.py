@@ -1,9 +1,11 @@
 """Evaluation texts leaking into training text (problem 8).
 
-The passages of the benchmark are indexed by character q-grams (broadcast: its size is checked, documents never
-move). A document's q-grams vote for (item, diagonal band); bands overlap by half. By the q-gram lemma a region that
-keeps MIN_WORDS words of a passage with the allowed edits shares at least a computable number of q-grams within one
-band, so bands below it are dropped without loss; the rest is verified by banded alignment of words.
+The passages of the benchmark are indexed by character q-grams; the index is built once and broadcast, documents never
+move. A document's q-grams vote for (item, diagonal band); bands overlap by half. Allowed edits cut a leaked stretch
+into pieces that each lie on one diagonal, and the edit budget bounds from below how many words the longest piece has
+(RUN_WORDS) and so how many q-grams it shares: bands with fewer are dropped without loss, whatever words were dropped
+or added and however long they are. What is left is verified by an alignment of words, banded by the edit budget, that
+starts from every piece of that size, so that no stretch over the budget hides one within it.
 """
 
 from __future__ import annotations
@@ -25,16 +27,28 @@ Q = 8
 MIN_WORDS = 25
 #: One word in this many may be changed, dropped or added.
 EDIT_EVERY = 12
-#: Characters a band is wide; a region whose diagonals drift further is found by its parts.
-BAND = 96
-#: An opening or closing sentence of more words is part of the passage.
+#: Bytes a band of diagonals is wide. Any width keeps every leak; a narrow one keeps fewer regions without one.
+BAND = 32
+#: An opening sentence of more words is part of the passage.
 FRAME_WORDS = 14
-#: Items that must share an opening before it counts as an instruction.
-SHARED_OPENING = 3
-#: Verdicts on regions that a task remembers.
-KNOWN_REGIONS = 2000
-#: Largest benchmark text that is sent to every executor; above it, items are taken in slices, a pass each.
-SLICE_CHARS = 16 << 20
+#: Largest index that is sent to every executor; a larger benchmark is taken in slices, a pass over the documents each.
+MAX_INDEX_BYTES = 64 << 20
+#: Bytes of index a byte of passage text takes, and those of its table of cells.
+INDEX_FACTOR, CELL_BYTES = 28, 16 << 20
+#: Parameter: words by which an opening sentence speaks of the task; without one of them it is part of the passage.
+TASK_WORDS = frozenset(
+    "answer question questions passage frage fragen antwort beantworte beantworten répondez réponds question texte responde pregunta preguntas respuesta "
+    "responda pergunta perguntas resposta rispondi domanda domande risposta beantwoord vraag vragen antwoord ответь ответьте вопрос вопросы".split()
+)
+
+
+def _run_words() -> int:
+    """Least number of words of the longest piece that the allowed edits leave of a stretch, over all its lengths."""
+    budgets = range(MIN_WORDS // EDIT_EVERY, 4 * EDIT_EVERY)
+    return min(-(-(max(MIN_WORDS, e * EDIT_EVERY) - e) // (e + 1)) for e in budgets)
+
+
+RUN_WORDS = _run_words()
 
 _WORD = re.compile(r"[^\W_]+")
 _ODD = re.compile(r"[^\w\x00-\x7f]+")
@@ -61,23 +75,15 @@ def lengths(w: list[str]) -> np.ndarray:
     return np.fromiter((len(x) if x.isascii() else len(x.encode("utf-8", "replace")) for x in w), np.int64, len(w))
 
 
-def passages(items: list[tuple[int, str | None]]) -> list[tuple[int, list[str]]]:
-    """(item_id, words of the passage): the instruction (a short first sentence that several items share) and the
-    question (a last sentence ending in '?') left out. Null texts and passages under MIN_WORDS words can't leak."""
-    split = [(i, re.split(r"(?<=[.?!:])\s+", t.strip())) for i, t in items if t]
-    opening: dict[str, int] = {}
-    for _, s in split:
-        opening[s[0]] = opening.get(s[0], 0) + 1
-    out = []
-    for i, s in split:
-        if len(s) > 1 and opening[s[0]] >= SHARED_OPENING and len(s[0].split()) <= FRAME_WORDS:
-            s = s[1:]
-        if len(s) > 1 and s[-1].endswith("?"):
-            s = s[:-1]
-        w = words(" ".join(s))
-        if len(w) >= MIN_WORDS:
-            out.append((i, w))
-    return out
+def passage(text: str | None) -> list[str]:
+    """Words of an item's passage: a short opening sentence that speaks of the task and a closing question left out."""
+    s = re.split(r"(?<=[.?!:])\s+", (text or "").strip())
+    opening = words(s[0])
+    if len(s) > 1 and len(opening) <= FRAME_WORDS and not TASK_WORDS.isdisjoint(opening):
+        s = s[1:]
+    if len(s) > 1 and s[-1].endswith("?"):
+        s = s[:-1]
+    return words(" ".join(s))
 
 
 _MIX = np.arange(256, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -93,36 +99,30 @@ def qgrams(codes: np.ndarray) -> np.ndarray:
 
 
 def threshold(w: list[str]) -> int:
-    """q-grams that MIN_WORDS words keep at least when the allowed number of them is changed, over all windows."""
-    edits = MIN_WORDS // EDIT_EVERY
-    size = lengths(w)
-    least = None
-    for a in range(len(w) - MIN_WORDS + 1):
-        part = size[a : a + MIN_WORDS]
-        # a changed word spoils its own grams and those that reach into it
-        kept = part.sum() - Q + 1 - np.sort(part + Q - 1)[-edits:].sum()
-        least = kept if least is None else min(least, kept)
-    return int(max(least or 0, 8))
+    """q-grams within the shortest RUN_WORDS words of a passage: what a leaked stretch shares at least on one diagonal."""
+    size = np.convolve(lengths(w), np.ones(RUN_WORDS, np.int64), "valid")
+    return max(1, int(size.min()) - Q + 1)
 
 
 class Index:
+    """q-grams of passages with their places. items: (item_id, words), each with MIN_WORDS words or more."""
+
     def __init__(self, items: list[tuple[int, list[str]]]) -> None:
         self.ids = [i for i, _ in items]
         self.words = [w for _, w in items]
         self.starts = [np.concatenate([[0], np.cumsum(lengths(w))]) for w in self.words]  # byte at which each word starts
-        self.known: dict[tuple, bool] = {}
         self.least = np.array([threshold(w) for w in self.words] or [0])
-        grams, item, at = [], [], []
+        grams, item, at = [np.empty(0, np.uint64)], [np.empty(0, np.int32)], [np.empty(0, np.int32)]
         for k, w in enumerate(self.words):
             g = qgrams(squeezed("".join(w)))
             grams.append(g)
-            item.append(np.full(len(g), k))
-            at.append(np.arange(len(g)))
-        g = np.concatenate(grams) if grams else np.empty(0, np.uint64)
+            item.append(np.full(len(g), k, np.int32))
+            at.append(np.arange(len(g), dtype=np.int32))
+        g = np.concatenate(grams)
         order = np.argsort(g, kind="stable")
-        self.item = np.concatenate(item)[order] if grams else np.empty(0, np.int64)
-        self.at = np.concatenate(at)[order] if grams else np.empty(0, np.int64)
-        self.gram, self.first, self.count = np.unique(g[order], return_index=True, return_counts=True)
+        self.item, self.at = np.concatenate(item)[order], np.concatenate(at)[order]
+        self.gram, first, count = np.unique(g[order], return_index=True, return_counts=True)
+        self.first, self.count = first.astype(np.int32), count.astype(np.int32)
         # a cell per upper bits: most grams of a document are dismissed by one look-up
         self.shift = np.uint64(64 - max(16, min(24, int(len(self.gram) * 16).bit_length())))
         self.cell = np.zeros(1 << (64 - int(self.shift)), bool)
@@ -137,13 +137,13 @@ class Index:
         i = np.minimum(np.searchsorted(self.gram, grams[pos]), len(self.gram) - 1)
         same = self.gram[i] == grams[pos]
         pos, i = pos[same], i[same]
-        n = self.count[i]
+        n = self.count[i].astype(np.int64)
         flat = np.repeat(self.first[i] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        return self.item[flat], np.repeat(pos, n), self.at[flat]
+        return self.item[flat].astype(np.int64), np.repeat(pos, n), self.at[flat].astype(np.int64)
 
     def leaked(self, text: str | None) -> list[int]:
         """Ids of the items whose passage occurs in the text."""
-        if not text or len(text) < 2 * MIN_WORDS:
+        if not text or len(text) < MIN_WORDS:
             return []
         text = inline(text)
         item, at, frm = self.hits(qgrams(squeezed(text)))
@@ -153,145 +153,138 @@ class Index:
             return []
         keep = worth[item]
         item, at, frm = item[keep], at[keep], frm[keep]
-        w = words(text)
         diagonal = at - frm + (1 << 40)
-        half = BAND // 2
-        found = []
-        starts = np.concatenate([[0], np.cumsum(lengths(w))])
         # every diagonal lies in two bands
-        band = np.concatenate([diagonal // half, diagonal // half - 1])
-        code = np.concatenate([item, item]).astype(np.int64) * (1 << 44) + band
+        band = np.concatenate([diagonal // (BAND // 2), diagonal // (BAND // 2) - 1])
+        code = np.concatenate([item, item]) * (1 << 44) + band
         values, inverse, n = np.unique(code, return_inverse=True, return_counts=True)
-        good = np.flatnonzero(n >= self.least[values >> 44])
-        for v in good[np.argsort(-n[good], kind="stable")]:
-            k = int(values[v] >> 44)
-            if self.ids[k] in found:
-                continue
-            rows = np.flatnonzero(inverse == v) % len(item)
-            dw = np.searchsorted(starts, at[rows], "right") - 1
-            pw = np.searchsorted(self.starts[k], frm[rows], "right") - 1
-            a, b = max(0, int(dw.min()) - MIN_WORDS), min(len(w), int(dw.max()) + 2 + MIN_WORDS)
-            c, e = max(0, int(pw.min()) - MIN_WORDS), min(len(self.words[k]), int(pw.max()) + 2 + MIN_WORDS)
-            shift = int(np.median(dw - pw))
-            # revisions repeat their paragraphs: the same region is aligned once
-            region = (k, c, e, shift - a + c, *w[a:b])
-            if region not in self.known:
-                if len(self.known) >= KNOWN_REGIONS:
-                    self.known.clear()
-                self.known[region] = straight(self.words[k][c:e], w[a:b], np.unique(dw - a - pw + c)) or aligned(self.words[k][c:e], w[a:b], shift - a + c)
-            if self.known[region]:
-                found.append(self.ids[k])
-        return found
-
-
-def straight(p: list[str], d: list[str], shifts: np.ndarray) -> bool:
-    """Whether MIN_WORDS words of p in a row stand in d on one of the diagonals, but for exchanged words."""
-    for s in shifts.tolist():
-        lo, hi = max(0, -s), min(len(p), len(d) - s)
-        if hi - lo < MIN_WORDS:
+        good = (n >= self.least[values >> 44])[inverse]
+        keep = good[: len(item)] | good[len(item) :]
+        item, at, frm, diagonal = item[keep], at[keep], frm[keep], diagonal[keep]
+        # pieces: grams that follow each other on one diagonal
+        order = np.lexsort((at, diagonal, item))
+        item, at, frm, diagonal = item[order], at[order], frm[order], diagonal[order]
+        new = np.flatnonzero((np.diff(item, prepend=-1) != 0) | (np.diff(diagonal, prepend=-1) != 0) | (np.diff(at, prepend=-2) != 1))
+        size = np.diff(new, append=len(item))
+        new = new[size >= self.least[item[new]]]
+        if not len(new):
+            return []
+        w = words(text)
+        starts = np.concatenate([[0], np.cumsum(lengths(w))])
+        found: dict[int, bool] = {}
+        for v in new:
+            k = int(item[v])
+            if not found.get(k):
+                # the first word of the passage that starts inside the piece, in the document the word at its place
+                i = int(np.searchsorted(self.starts[k], frm[v]))
+                j = int(np.searchsorted(starts, at[v] + self.starts[k][i] - frm[v]))
+                found[k] = near(self.words[k], i, w, j)
+        return [self.ids[k] for k, hit in found.items() if hit]
+
+
+def slide(p: list[str], i: int, d: list[str], j: int) -> tuple[int, int]:
+    """How far p from word i and d from word j agree: words in a row, whatever the spacing within them."""
+    n, m = len(p), len(d)
+    while i < n and j < m:
+        if p[i] == d[j]:
+            i, j = i + 1, j + 1
             continue
-        bad = np.fromiter((p[i] != d[i + s] for i in range(lo, hi)), np.int64, hi - lo)
-        run = np.concatenate([[0], np.cumsum(bad)])
-        ends = (bad[: len(bad) - MIN_WORDS + 1] == 0) & (bad[MIN_WORDS - 1 :] == 0)
-        if (((run[MIN_WORDS:] - run[:-MIN_WORDS]) * EDIT_EVERY <= MIN_WORDS) & ends).any():
+        # one side may write as one word what the other writes as several
+        a, b, x, y = p[i], d[j], i + 1, j + 1
+        while len(a) != len(b):
+            if len(a) < len(b):
+                if x == n or not b.startswith(a):
+                    break
+                a, x = a + p[x], x + 1
+            else:
+                if y == m or not a.startswith(b):
+                    break
+                b, y = b + d[y], y + 1
+        if a != b:
+            break
+        i, j = x, y
+    return i, j
+
+
+def reach(p: list[str], d: list[str], budget: int) -> list[int]:
+    """For e = 0 .. budget: the most words from the start of p that agree with the start of d but for e words changed,
+    dropped or added, the last one agreeing. Furthest points by diagonal: at most 2 e + 1 each unless spacing differs."""
+    i, j = slide(p, 0, d, 0)
+    best, front = [i], {i - j: i}
+    for _ in range(budget):
+        after: dict[int, int] = {}
+        for diagonal, i in front.items():
+            j = i - diagonal
+            for x, y in ((i + 1, j + 1), (i + 1, j), (i, j + 1)):
+                if x <= len(p) and y <= len(d) and after.get(x - y, -1) < x:
+                    after[x - y] = x
+        front, most = {}, best[-1]
+        for diagonal, i in after.items():
+            x, y = slide(p, i, d, i - diagonal)
+            if x > i:
+                most = max(most, x)
+            if front.get(x - y, -1) < x:
+                front[x - y] = x
+        best.append(most)
+    return best
+
+
+def near(p: list[str], i: int, d: list[str], j: int) -> bool:
+    """Whether MIN_WORDS words or more of p in a row, word i at word j of d among them, occur in d with one edit in
+    EDIT_EVERY words at most. Edits at the ends don't count as part of the stretch."""
+    budget = len(p) // EDIT_EVERY
+    ahead = reach(p[i:], d[j : j + 2 * (len(p) - i) + budget], budget)
+    behind = reach([x[::-1] for x in p[:i][::-1]], [x[::-1] for x in d[max(0, j - 2 * i - budget) : j][::-1]], budget)
+    for e in range(budget + 1):
+        size = max(ahead[x] + behind[e - x] for x in range(e + 1))
+        if size >= MIN_WORDS and e * EDIT_EVERY <= size:
             return True
     return False
 
 
-def aligned(p: list[str], d: list[str], shift: int, width: int = 16) -> bool:
-    """Whether MIN_WORDS or more words of p in a row occur in d near the diagonal with one edit in EDIT_EVERY at most.
-
-    Banded local alignment by words, a match 1, an edit -2; two words written as one, or one as two, are no edit. The
-    best path is then cut into words of p with their edits, and all its stretches that start and end with a word that
-    matches are tried.
-    """
-    n, m = len(p), len(d)
-    score = [[0] * (m + 1) for _ in range(n + 1)]
-    back = [[0] * (m + 1) for _ in range(n + 1)]
-    top, end = 0, (0, 0)
-    for i in range(1, n + 1):
-        row, up, word = score[i], score[i - 1], p[i - 1]
-        for j in range(max(1, i + shift - width), min(m, i + shift + width) + 1):
-            same = word == d[j - 1]
-            best, b = up[j - 1] + (1 if same else -2), 1
-            if up[j] - 2 > best:
-                best, b = up[j] - 2, 2
-            if row[j - 1] - 2 > best:
-                best, b = row[j - 1] - 2, 3
-            if not same:
-                if j > 1 and up[j - 2] >= best and word == d[j - 2] + d[j - 1]:
-                    best, b = up[j - 2] + 1, 4
-                if i > 1 and score[i - 2][j - 1] >= best and p[i - 2] + word == d[j - 1]:
-                    best, b = score[i - 2][j - 1] + 2, 5
-            if best > 0:
-                row[j], back[i][j] = best, b
-                if best > top:
-                    top, end = best, (i, j)
-    if top < MIN_WORDS - 3 * (MIN_WORDS // EDIT_EVERY):
-        return False
-    i, j = end
-    last = i
-    edits, gaps = np.zeros(n + 1), np.zeros(n + 1)  # of word i of p; of added words before word i
-    while i > 0 and j > 0 and back[i][j]:
-        b = back[i][j]
-        if b == 1:
-            edits[i - 1] = p[i - 1] != d[j - 1]
-            i, j = i - 1, j - 1
-        elif b == 2:
-            edits[i - 1] = 1
-            i -= 1
-        elif b == 3:
-            gaps[i] += 1
-            j -= 1
-        elif b == 4:
-            i, j = i - 1, j - 2
-        else:
-            i, j = i - 2, j - 1
-    first = i
-    run = np.concatenate([[0], np.cumsum(edits)])
-    inner = np.concatenate([[0], np.cumsum(gaps)])  # added before words 0 .. i - 1
-    for a in range(first, last - MIN_WORDS + 1):
-        b = np.arange(a + MIN_WORDS, last + 1)
-        bad = run[b] - run[a] + inner[b] - inner[a + 1]
-        if edits[a] == 0 and ((bad * EDIT_EVERY <= b - a) & (edits[b - 1] == 0)).any():
-            return True
-    return False
+def slices(items: Iterator[tuple[int, str | None]]) -> Iterator[list[tuple[int, list[str]]]]:
+    """Passages of MIN_WORDS words or more in lists whose index stays below MAX_INDEX_BYTES (or holds one passage)."""
+    part, size = [], CELL_BYTES
+    for item_id, text in items:
+        w = passage(text)
+        if len(w) < MIN_WORDS:
+            continue
+        n = int(lengths(w).sum()) * INDEX_FACTOR
+        if part and size + n > MAX_INDEX_BYTES:
+            yield part
+            part, size = [], CELL_BYTES
+        part.append((item_id, w))
+        size += n
+    if part:
+        yield part
 
 
-def leaks(documents: DataFrame, doc_id: str, text: str, items: list[tuple[int, str | None]]) -> DataFrame:
-    """(doc_id, item_id) of every leaked item. Map-only over documents; items are the whole benchmark.
+def leaks(documents: DataFrame, doc_id: str, text: str, items: Iterator[tuple[int, str | None]]) -> DataFrame:
+    """(doc_id, item_id) of every leaked item. Map-only over documents; items (item_id, text) are the whole benchmark.
 
-    Null and empty texts leak nothing. Repeated item texts count each. A benchmark above SLICE_CHARS is taken in slices.
+    Null and empty texts leak nothing; passages under MIN_WORDS words can't leak. Repeated item texts count each. The
+    index of one slice of the items (at most MAX_INDEX_BYTES) is held by the driver and by a worker at a time; each
+    further slice is a further pass over the documents.
     """
-    found = passages(items)
-    slices: list[list] = [[]]
-    size = 0
-    for x in found:
-        n = sum(map(len, x[1]))
-        if size + n > SLICE_CHARS:
-            slices.append([])
-            size = 0
-        slices[-1].append(x)
-        size += n
     schema = f"doc_id {documents.schema[doc_id].dataType.simpleString()}, item_id bigint"
     out = None
-    for part in slices:
-        sent = documents.sparkSession.sparkContext.broadcast(part)
+    for part in slices(iter(items)):
+        sent = documents.sparkSession.sparkContext.broadcast(Index(part))
 
         def run(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            index = Index(sent.value)
+            index = sent.value
             for f in frames:
                 rows = [(i, k) for i, t in zip(f.iloc[:, 0], f.iloc[:, 1]) for k in index.leaked(t)]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id"])
 
         one = documents.select(doc_id, text).mapInPandas(run, schema)
         out = one if out is None else out.unionAll(one)
-    return out
+    return documents.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def _items(spark: SparkSession, folder: str) -> list[tuple[int, str | None]]:
-    # the benchmark doesn't grow with the documents
-    return [(r.item_id, r.text) for r in table(spark, folder, "benchmark").select("item_id", "text").orderBy("item_id").toLocalIterator()]
+def _items(spark: SparkSession, folder: str) -> Iterator[tuple[int, str | None]]:
+    for r in table(spark, folder, "benchmark").select("item_id", "text").toLocalIterator():
+        yield r.item_id, r.text
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -15,17 +15,16 @@ _LINK = re.compile(r"\[\[([^\[\]]*)\]\]")
 _OUTER_LINK = re.compile(r"\[(?:https?:|ftp:|//)[^\s\[\]]*\s?([^\[\]]*)\]", re.I)
 _URL = re.compile(r"\b(?:https?|ftp)://\S+", re.I)
 
-#: A template argument with this many words is text, not a setting.
-TEXT_WORDS = 25
+#: A template argument with this many words is text, not a setting: a leaked stretch keeps that many of its 25.
+TEXT_WORDS = 23
+
+_NAMED = re.compile(r"\s*[\w -]{1,20}=")
 
 
 def _template(m: re.Match) -> str:
-    inside = m.group(1)
-    if inside and len(inside) > 100:
-        for part in inside.split("|")[1:]:
-            if len(part.split()) >= TEXT_WORDS:
-                return "\n" + part.partition("=")[2] + "\n" if re.match(r"\s*[\w -]{1,20}=", part) else "\n" + part + "\n"
-    return ""
+    """The arguments of a template that are text, each on a line of its own."""
+    texts = [x for x in (m.group(1) or "").split("|")[1:] if len(x.split()) >= TEXT_WORDS]
+    return "".join("\n" + (x.partition("=")[2] if _NAMED.match(x) else x) + "\n" for x in texts)
 
 
 def drop_templates(text: str) -> str:
