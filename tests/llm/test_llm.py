@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from urlsieve.llm import collapse, golomb, gru, heavy, langid, leakage, lookalike, packing, seen, wikitext
 
@@ -51,13 +52,40 @@ def test_seen(spark, tmp_path):
             known.add(k)
     got = [x.entry_id for x in seen.p1_found(spark, str(tmp_path)).collect()]
     assert len(got) == len(set(got)) and set(got) == expected
-    # hot keys split over tasks give the same
-    keys, feed = seen.feed_keys(spark, str(tmp_path))
-    e = seen.Epochs.over(keys)
-    assert {x.ord for x in seen.seen_lines(feed, seen.probe(keys, keys.count(), e), e, hot_rows=5).collect()} == expected
-    empty = frame(spark, [], "ord bigint, h bigint, h2 bigint")
-    e = seen.Epochs.over(empty)
-    assert seen.seen_lines(empty, seen.probe(empty, 0, e), e).count() == 0
+    keys = seen.feed_keys(spark, str(tmp_path))
+    assert seen.probe(keys.limit(0), 0).count() == 0
+    coarse, fine = seen.p1_error_rate(spark, str(tmp_path)).collect()
+    assert coarse.lines == fine.lines == sum(key(s) is not None for s in lines) and fine.hits == len(expected) and fine.false_positives == 0
+    assert fine.sure < 0.5 * fine.hits and coarse.hits - coarse.false_positives == fine.hits
+
+
+def test_seen_hot_and_wrong(spark, monkeypatch):
+    monkeypatch.setattr(seen, "BUCKET_KEYS", 256)
+    n = 20_000
+    # a third of all rows is one key; one id lies far away
+    keys = spark.range(n).select(F.when(F.col("id") == n - 1, 10**15).otherwise(F.col("id")).alias("ord"), F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.pmod(F.xxhash64("id"), F.lit(9000)))).alias("k"))
+    keys = keys.select("ord", F.xxhash64("k").alias("h"), F.xxhash64(F.lit(1), "k").alias("h2")).cache()
+    first = {}
+    rows = sorted(keys.collect())
+    for r in rows:
+        first.setdefault(r.h2, r.ord)
+    got = [r.ord for r in seen.probe(keys, n).collect()]
+    assert len(got) == len(set(got)) and set(got) == {r.ord for r in rows if first[r.h2] < r.ord}
+    a = seen.audited(keys, n, 4).first()
+    assert a.false_positives > 20 and 0.5 < a.audited_rate / a.theoretical_rate < 2 and a.hits == len(got) + a.false_positives
+
+
+def test_growing_set():
+    r = np.random.default_rng(1)
+    g, known = golomb.GrowingSet(40), set()
+    for _ in range(30):
+        v = r.integers(0, 3000, r.integers(0, 400), dtype=np.uint64) * np.uint64(300_000_000)
+        expected = []
+        for x in v.tolist():
+            expected.append(x in known)
+            known.add(x)
+        assert g.probe_and_add(v).tolist() == expected
+    assert g.n == len(known) and len(g.parts) < 12
 
 
 # ---------------------------------------------------------------- 2

@@ -6,6 +6,8 @@ import numpy as np
 
 #: Values in a block: a probe decodes one block, so this bounds its work.
 BLOCK = 128
+#: Neighbouring blocks decoded at a time, and remainders packed at a time (a multiple of 8): they bound the work space.
+RUN, PACK = 512, 1 << 16
 
 
 def reduce_hash(h: np.ndarray, bits: int) -> np.ndarray:
@@ -13,6 +15,21 @@ def reduce_hash(h: np.ndarray, bits: int) -> np.ndarray:
     return h.astype(np.int64).view(np.uint64) >> np.uint64(64 - bits)
 
 
+def _pack(rest: np.ndarray, width: int) -> np.ndarray:
+    """The lowest `width` bits of each value, one after another."""
+    if not width or not len(rest):
+        return np.empty(0, np.uint8)
+    bits = lambda v: np.unpackbits(v.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)[:, 64 - width :]
+    return np.concatenate([np.packbits(bits(rest[i : i + PACK]).reshape(-1)) for i in range(0, len(rest), PACK)])
+
+
+def _unpack(bits: np.ndarray, width: int) -> np.ndarray:
+    """Values of `width` bits each out of single bits."""
+    wide = np.zeros((len(bits) // width, 64), np.uint8)
+    wide[:, 64 - width :] = bits.reshape(-1, width)
+    return np.packbits(wide, axis=1).view(">u8").reshape(-1).astype(np.uint64)
+
+
 class GolombSet:
     """A set of integers in [0, 2**bits). Gaps within a block are Golomb-Rice coded.
 
@@ -50,29 +67,19 @@ class GolombSet:
         if len(ends):
             unary[ends - 1] = 1
         self.unary = np.packbits(unary)
-        if self.rice and len(rest):
-            wide = ((rest[:, None] >> np.arange(self.rice - 1, -1, -1, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
-            self.rest = np.packbits(wide.reshape(-1))
-        else:
-            self.rest = np.empty(0, np.uint8)
+        self.rest = _pack(rest, self.rice)
 
     @staticmethod
     def _slice(data: np.ndarray, a: int, b: int) -> np.ndarray:
         return np.unpackbits(data[a >> 3 : (b + 7) >> 3])[a & 7 : (a & 7) + b - a]
 
-    def block(self, i: int) -> np.ndarray:
-        """The values of block i."""
-        self.decoded_blocks += 1
-        return self._decode(i, i + 1)
-
     def _decode(self, i: int, j: int) -> np.ndarray:
         """The values of blocks i to j - 1."""
         a, b = int(self.starts[i]), int(self.starts[j])
         ones = np.flatnonzero(self._slice(self.unary, int(self.unary_at[i]), int(self.unary_at[j])))
         gaps = (np.diff(ones, prepend=-1) - 1).astype(np.uint64) << np.uint64(self.rice)
         if self.rice and b > a:
-            wide = self._slice(self.rest, a * self.rice, b * self.rice).reshape(b - a, self.rice)
-            gaps += wide.astype(np.uint64) @ (np.uint64(1) << np.arange(self.rice - 1, -1, -1, dtype=np.uint64))
+            gaps += _unpack(self._slice(self.rest, a * self.rice, b * self.rice), self.rice)
         total = b - a + (j - i)
         steps = np.empty(total, np.uint64)
         heads = self.starts[i:j] - a + np.arange(j - i)
@@ -97,13 +104,16 @@ class GolombSet:
         order = np.argsort(probes, kind="stable")
         p = probes[order]
         at = np.searchsorted(self.firsts, p, side="right") - 1
-        bounds = np.flatnonzero(np.diff(at, prepend=at[0] - 1))
-        for a, b in zip(bounds, [*bounds[1:], len(p)]):
-            if at[a] < 0:
-                continue
-            values = self.block(int(at[a]))
-            i = np.minimum(np.searchsorted(values, p[a:b]), len(values) - 1)
-            hit[order[a:b]] = values[i] == p[a:b]
+        wanted = np.unique(at[at >= 0])
+        # neighbouring blocks are decoded together
+        for run in np.split(wanted, np.flatnonzero(np.diff(wanted) != 1) + 1):
+            for i in range(0, len(run), RUN):
+                lo, hi = int(run[i]), int(run[min(i + RUN, len(run)) - 1]) + 1
+                self.decoded_blocks += hi - lo
+                values = self._decode(lo, hi)
+                a, b = np.searchsorted(at, [lo, hi])
+                j = np.minimum(np.searchsorted(values, p[a:b]), len(values) - 1)
+                hit[order[a:b]] = values[j] == p[a:b]
         return hit
 
     def add(self, values: np.ndarray) -> None:
@@ -118,3 +128,41 @@ class GolombSet:
     def false_positive_rate(self) -> float:
         """Theoretical: the share of the range that is taken."""
         return self.n / 2.0**self.bits
+
+
+class GrowingSet:
+    """Golomb-coded sets of falling size, each at least twice the next: adding re-encodes a value a logarithmic number of
+    times, a probe looks into each set."""
+
+    def __init__(self, bits: int) -> None:
+        self.bits = bits
+        self.parts: list[GolombSet] = []
+
+    def probe_and_add(self, values: np.ndarray) -> np.ndarray:
+        """For each value, in order, whether it was there when its turn came; it is there afterwards."""
+        distinct, first, which = np.unique(values, return_index=True, return_inverse=True)
+        known = np.zeros(len(distinct), bool)
+        for part in self.parts:
+            open_ = np.flatnonzero(~known)
+            known[open_] = part.contains(distinct[open_])
+        hit = known[which]
+        later = np.ones(len(values), bool)
+        later[first] = False
+        if not known.all():
+            self.parts.append(GolombSet(self.bits, distinct[~known]))
+            while len(self.parts) > 1 and self.parts[-2].n < 2 * self.parts[-1].n:
+                last = self.parts.pop()
+                self.parts[-1].add(last.values())
+        return hit | later
+
+    @property
+    def n(self) -> int:
+        return sum(p.n for p in self.parts)
+
+    @property
+    def size_bytes(self) -> int:
+        return sum(p.size_bytes for p in self.parts)
+
+    @property
+    def false_positive_rate(self) -> float:
+        return self.n / 2.0**self.bits

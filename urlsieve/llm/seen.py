@@ -1,32 +1,33 @@
 """Has this key been seen before? (problem 1)
 
-Keys are cut into epochs by arrival and into buckets by hash. A task streams a bucket's distinct hashes epoch by
-epoch through one Golomb-coded set: probe, then add. Memory a task is one compressed set (about FP_BITS + 1.5 bits a
-key) and one chunk of probes, whatever the number of keys. Probable repeats alone are checked against the 128-bit
-fingerprints, which gives the exact answer and the audited rate of wrong answers.
+Keys are sent once to their bucket by hash and pass it in order of arrival through one Golomb-coded set: probe, then
+add. The earlier keys exist as compressed gaps only (about FP_BITS + 1.6 bits a key in a full bucket), nothing is kept
+beside them, and the set's word is the answer, for keys known beforehand, earlier lines and lines just before alike.
+A wrong answer is a new key taken for a repeat: one in 2**FP_BITS new keys of a full bucket. p1_error_rate audits it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import fingerprint, refang, strip
-from ..operators.skew import HOT_ROWS, salted_join
 from ..runtime import cut, parallelism, table
 
-#: Bits of a reduced hash beyond log2 of the bucket's capacity: one wrong answer in 2**FP_BITS new keys when full.
-FP_BITS = 12
+#: Bits of a reduced hash beyond log2 of the bucket's capacity.
+FP_BITS = 32
+#: The audit's settings: a coarse set that does err, and the one in use.
+AUDITED_BITS = (8, FP_BITS)
 #: Distinct keys a bucket is laid out for.
 BUCKET_KEYS = 1 << 20
-EPOCHS = 16
-#: Hashes probed and added at a time.
-CHUNK = 1 << 16
+#: Rows that are looked through for hot keys at a time before the shuffle, and from how many rows a key is hot there.
+CHUNK, HOT = 1 << 20, 64
+#: Rows probed and added at a time.
+STEP = 1 << 16
 
 
 def entry_keys(df: DataFrame, id_col: str, entry: str) -> DataFrame:
@@ -39,130 +40,139 @@ def entry_keys(df: DataFrame, id_col: str, entry: str) -> DataFrame:
     return s.select("ord", "kind", F.when(F.col("kind") == "url", url).when(F.col("kind") == "domain", domain).alias("key"))
 
 
-def _stream(fields: list[str], bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from urlsieve.llm.golomb import GolombSet, reduce_hash
-
-        bucket, known = None, GolombSet(bits)
+def _thin(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Before the shuffle: rows of a hot key behind its first row of the chunk are repeats of that one; they are marked
+    `sure` and spread over all buckets. So no key sends more than HOT rows a chunk to its bucket."""
+
+    def emit(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held)
+        at, h, bucket = (t.column(c).to_numpy() for c in ("ord", "h", "bucket"))
+        order = np.lexsort((at, h, bucket))
+        new = (np.diff(h[order], prepend=0) != 0) | (np.diff(bucket[order], prepend=-1) != 0)
+        if len(new):
+            new[0] = True
+        count = np.diff(np.flatnonzero(new), append=len(new))
+        behind = ~new & np.repeat(count >= HOT, count)
+        sure = np.zeros(len(at), bool)
+        sure[order[behind]] = True
+        t = t.set_column(t.schema.get_field_index("bucket"), "bucket", pa.array(np.where(sure, at % buckets, bucket), pa.int32()))
+        yield from t.append_column("sure", pa.array(sure)).to_batches(max_chunksize=STEP)
+
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= CHUNK:
+            yield from emit(held)
+            held, rows = [], 0
+    if held:
+        yield from emit(held)
+
+
+def _through_sets(batches: Iterator[pa.RecordBatch], bits: int, audit: bool) -> Iterator[pa.RecordBatch]:
+    """Rows ordered by bucket and arrival, each bucket through its set. Without audit only the hits' ords come out."""
+    from urlsieve.llm.golomb import GrowingSet, reduce_hash
+
+    bucket, known = None, GrowingSet(bits)
+
+    def steps() -> Iterator[pa.Table]:
+        held, rows = [], 0
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            buckets, epochs = t.column("bucket").to_numpy(), t.column("epoch").to_numpy()
-            h = t.column("h").to_numpy()
-            hit, rate, size = np.zeros(len(h), bool), np.zeros(len(h)), np.zeros(len(h), np.int64)
-            # a chunk lies within one epoch, whose hashes are distinct
-            turn = np.diff(buckets, prepend=-1).astype(bool) | np.diff(epochs, prepend=-1).astype(bool)
-            cuts = [*np.flatnonzero(turn), len(h)]
-            if cuts[0]:
-                cuts.insert(0, 0)
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                if buckets[a] != bucket:
-                    bucket, known = buckets[a], GolombSet(bits)
-                for i in range(a, b, CHUNK):
-                    j = min(i + CHUNK, b)
-                    reduced = reduce_hash(h[i:j], bits)
-                    rate[i:j] = known.false_positive_rate
-                    hit[i:j] = known.contains(reduced)
-                    known.add(reduced[~hit[i:j]])
-                    size[i:j] = known.size_bytes
-            extra = [pa.array(hit), pa.array(rate), pa.array(size)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(f)) for f in fields], *extra], names=[*fields, "gcs_hit", "gcs_rate", "gcs_bytes"])
-
-    return run
-
-
-@dataclass(frozen=True)
-class Epochs:
-    """EPOCHS equal stretches of the arrival order; 0 is what was known beforehand."""
-
-    lo: int
-    width: int
-
-    @staticmethod
-    def over(keys: DataFrame) -> Epochs:
-        edge = keys.agg(F.min(F.when(F.col("ord") >= 0, F.col("ord"))).alias("lo"), F.max("ord").alias("hi")).first()
-        return Epochs(edge.lo or 0, max(1, ((edge.hi or 0) - (edge.lo or 0)) // EPOCHS + 1))
-
-    def of(self, ord_: Column) -> Column:
-        return F.when(ord_ < 0, 0).otherwise(1 + F.floor((ord_ - self.lo) / self.width)).cast("int")
-
-
-def probe(keys: DataFrame, total: int, epochs: Epochs) -> DataFrame:
-    """keys(ord bigint, h, h2): one row per (epoch, h, h2) with first_ord, n and what the filter said of it.
-
-    Smaller ord is earlier; negative ords are known beforehand (epoch 0). total: count of keys. Null h isn't allowed.
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= STEP:
+                yield pa.Table.from_batches(held)
+                held, rows = [], 0
+        if held:
+            yield pa.Table.from_batches(held)
+
+    for t in steps():
+        buckets, h, hit = t.column("bucket").to_numpy(), t.column("h").to_numpy(), t.column("sure").to_numpy().copy()
+        rate, size = np.zeros(len(h)), np.zeros(len(h), np.int64)
+        cuts = [*np.flatnonzero(np.diff(buckets, prepend=-1)), len(h)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if buckets[a] != bucket:
+                bucket, known = buckets[a], GrowingSet(bits)
+            i = a + np.flatnonzero(~hit[a:b])
+            rate[i] = known.false_positive_rate
+            hit[i] = known.probe_and_add(reduce_hash(h[i], bits))
+            size[a:b] = known.size_bytes
+        if audit:
+            yield from t.append_column("hit", pa.array(hit)).append_column("rate", pa.array(rate)).append_column("bytes", pa.array(size)).to_batches()
+        else:
+            yield from t.select(["ord"]).filter(pa.array(hit)).to_batches()
+
+
+def probe(keys: DataFrame, total: int, fp_bits: int = FP_BITS, extra: Sequence[str] = (), audit: bool = False) -> DataFrame:
+    """keys(ord bigint, h, h2): (ord) of every row whose key has a row with a smaller ord, by the coded sets.
+
+    Smaller ord is earlier; negative ords are known beforehand and come out as well where they repeat. Of rows with one
+    key and one ord the first met is new. total: an upper bound of the rows. Null hashes aren't allowed. Empty keys: no
+    rows. With audit: every row as (ord, h, bucket, *extra, sure, hit, rate, bytes), rate being the theoretical one of
+    the set and bytes its size when the row passed; rows marked sure are repeats that never reached a set.
     """
     spark = keys.sparkSession
     buckets = max(parallelism(spark), -(-total // BUCKET_KEYS))
-    bits = int(np.ceil(np.log2(max(2, min(BUCKET_KEYS, -(-total // buckets) * 2))))) + FP_BITS
-    grouped = keys.select(
-        "ord",
-        "h",
-        "h2",
-        epochs.of(F.col("ord")).alias("epoch"),
-        F.pmod(F.xxhash64("h2"), F.lit(buckets)).cast("int").alias("bucket"),
-    )
-    distinct = grouped.groupBy("bucket", "epoch", "h", "h2").agg(F.min("ord").alias("first_ord"), F.count(F.lit(1)).alias("n"))
-    ordered = distinct.repartition(min(buckets, 4 * parallelism(spark)), "bucket").sortWithinPartitions("bucket", "epoch")
-    fields = ["bucket", "epoch", "h", "h2", "first_ord", "n"]
-    schema = "bucket int, epoch int, h bigint, h2 bigint, first_ord bigint, n bigint, gcs_hit boolean, gcs_rate double, gcs_bytes bigint"
-    return cut(ordered.select(*fields).mapInArrow(_stream(fields, bits), schema))
-
-
-def verified(states: DataFrame) -> DataFrame:
-    """Probable repeats with `repeat`: whether an earlier epoch really holds the key (compared by 128 bits)."""
-    hits = states.filter("gcs_hit")
-    # the filter took in the first holder of a hash only; a later holder is a hit itself, so the first is no hit
-    held = hits.select("h", "h2").distinct().join(states.select("h", "h2", F.col("first_ord").alias("__at")), ["h", "h2"])
-    first = held.groupBy("h", "h2").agg(F.min("__at").alias("__first"))
-    return hits.join(first, ["h", "h2"], "left").withColumn("repeat", F.coalesce(F.col("__first") < F.col("first_ord"), F.lit(False))).drop("__first")
-
-
-def seen_lines(lines: DataFrame, states: DataFrame, epochs: Epochs, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """ord of every line whose key occurred earlier. lines(ord, h, h2) are those that probe() got."""
-    repeats = verified(states).filter("repeat").select("epoch", "h", "h2", "first_ord")
-    firsts = repeats.filter("first_ord >= 0").select(F.col("first_ord").alias("ord"))
-    several = states.filter("n > 1 and epoch > 0").select("epoch", "h", "h2", "first_ord", "n")
-    marked = lines.select("ord", epochs.of(F.col("ord")).alias("epoch"), "h", "h2")
-    later = salted_join(marked, several, ["epoch", "h", "h2"], "n", hot_rows).filter("ord > first_ord").select("ord")
-    return firsts.unionAll(later)
-
-
-def feed_keys(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """All keys and the feed's keys, as (ord, h, h2), written once. Lines without a key are left out."""
+    bits = int(np.ceil(np.log2(max(2, min(BUCKET_KEYS, 2 * -(-total // buckets)))))) + fp_bits
+    rows = keys.select("ord", "h", F.pmod("h2", F.lit(buckets)).cast("int").alias("bucket"), *extra)
+    schema = "ord bigint, h bigint, bucket int, " + "".join(f"{c} {keys.schema[c].dataType.simpleString()}, " for c in extra) + "sure boolean"
+    sent = rows.mapInArrow(lambda b: _thin(b, buckets), schema)
+    ordered = sent.repartition(min(buckets, 4 * parallelism(spark)), "bucket").sortWithinPartitions("bucket", "ord", "h")
+    out = schema + ", hit boolean, rate double, bytes bigint" if audit else "ord bigint"
+    return ordered.mapInArrow(lambda b: _through_sets(b, bits, audit), out)
+
+
+def feed_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """(ord, h, h2) of the seed (ord -1) and of the feed's lines. Lines without a key are left out."""
     feed = entry_keys(table(spark, folder, "blocklist_feed"), "entry_id", "entry")
     seed = table(spark, folder, "blocklist_seed").select(F.lit(-1).cast("bigint").alias("ord"), "kind", F.col("entry_key").alias("key"))
     h, h2 = fingerprint("kind", "key")
-    known = F.col("kind").isNotNull() & F.col("key").isNotNull()
-    keys = cut(feed.unionAll(seed).select("ord", F.when(known, h).alias("h"), F.when(known, h2).alias("h2"))).filter("h is not null")
-    return keys, keys.filter("ord >= 0")
+    return feed.unionAll(seed).filter(F.col("kind").isNotNull() & F.col("key").isNotNull()).select("ord", h.alias("h"), h2.alias("h2"))
+
+
+def _rows(spark: SparkSession, folder: str) -> int:
+    return table(spark, folder, "blocklist_feed").count() + table(spark, folder, "blocklist_seed").count()
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """entry_id of every line whose kind and key are in the seed or on a line with a smaller entry_id."""
-    keys, lines = feed_keys(spark, folder)
-    epochs = Epochs.over(keys)
-    states = probe(keys, keys.count(), epochs)
-    return seen_lines(lines, states, epochs).select(F.col("ord").alias("entry_id"))
+    return probe(feed_keys(spark, folder), _rows(spark, folder)).filter("ord >= 0").select(F.col("ord").alias("entry_id"))
+
+
+def audited(keys: DataFrame, total: int, fp_bits: int) -> DataFrame:
+    """One row: fp_bits, lines, hits, hits without the sets (`sure`), false positives by comparison with all earlier
+    keys, their rate among new keys, the theoretical rate, distinct keys kept and bits a key."""
+    states = cut(probe(keys, total, fp_bits, ["h2"], audit=True))
+    lines = states.filter("ord >= 0")
+    one = lines.agg(F.count(F.lit(1)).alias("lines"), F.count_if("hit").alias("hits"), F.count_if("sure").alias("sure"), F.avg(F.when(~F.col("hit"), F.col("rate"))).alias("theoretical_rate"))
+    first = keys.groupBy("h", "h2").agg(F.min("ord").alias("ord"))
+    wrong = lines.filter("hit and not sure").join(first, ["ord", "h", "h2"], "left_semi").agg(F.count(F.lit(1)).alias("false_positives"))
+    kept = states.agg(F.count_if(~F.col("hit")).alias("kept"))
+    size = states.groupBy("bucket").agg(F.max("bytes").alias("b")).agg(F.coalesce(F.sum("b"), F.lit(0)).alias("filter_bytes"))
+    fp = F.col("false_positives")
+    return (
+        one.crossJoin(wrong)
+        .crossJoin(kept)
+        .crossJoin(size)  # one-row aggregates
+        .select(
+            F.lit(fp_bits).alias("fp_bits"),
+            "lines",
+            "hits",
+            "sure",
+            fp,
+            (fp / F.greatest(F.col("lines") - F.col("hits") + fp, F.lit(1))).alias("audited_rate"),
+            "theoretical_rate",
+            "kept",
+            (8 * F.col("filter_bytes") / F.greatest(F.col("kept"), F.lit(1))).alias("bits_per_key"),
+        )
+    )
 
 
 def p1_error_rate(spark: SparkSession, folder: str) -> DataFrame:
-    """One row: distinct probes, hits, audited false positives, their rate and the theoretical one, bits a key."""
-    keys, _ = feed_keys(spark, folder)
-    states = probe(keys, keys.count(), Epochs.over(keys))
-    checked = verified(states)
-    wrong = checked.agg(F.count(F.lit(1)).alias("hits"), F.sum((~F.col("repeat")).cast("bigint")).alias("false_positives"))
-    whole = states.agg(F.count(F.lit(1)).alias("probes"), F.avg("gcs_rate").alias("theoretical_rate"), F.sum((~F.col("gcs_hit")).cast("bigint")).alias("kept"))
-    size = states.groupBy("bucket").agg(F.max("gcs_bytes").alias("b")).agg(F.sum("b").alias("filter_bytes"))
-    row = whole.crossJoin(wrong).crossJoin(size)  # three one-row aggregates
-    fp = F.coalesce("false_positives", F.lit(0))
-    return row.select(
-        "probes",
-        "hits",
-        fp.alias("false_positives"),
-        (fp / F.greatest(F.col("probes") - F.col("hits") + fp, F.lit(1))).alias("audited_rate"),
-        "theoretical_rate",
-        (8 * F.col("filter_bytes") / F.greatest(F.col("kept"), F.lit(1))).alias("bits_per_key"),
-    )
+    """The theoretical and the audited rate of wrong answers, one row a setting of AUDITED_BITS (see audited)."""
+    keys, total = cut(feed_keys(spark, folder)), _rows(spark, folder)
+    coarse, fine = (audited(keys, total, bits) for bits in AUDITED_BITS)
+    return coarse.unionAll(fine)
 
 
 QUERIES = {"p1_found": p1_found, "p1_error_rate": p1_error_rate}
