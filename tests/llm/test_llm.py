@@ -56,7 +56,7 @@ def test_seen(spark, tmp_path):
     assert seen.probe(keys.limit(0), 0).count() == 0
     coarse, fine = seen.p1_error_rate(spark, str(tmp_path)).collect()
     assert coarse.lines == fine.lines == sum(key(s) is not None for s in lines) and fine.hits == len(expected) and fine.false_positives == 0
-    assert fine.sure < 0.5 * fine.hits and coarse.hits - coarse.false_positives == fine.hits
+    assert fine.sure < fine.hits and coarse.hits - coarse.false_positives == fine.hits
 
 
 def test_seen_hot_and_wrong(spark, monkeypatch):

@@ -162,7 +162,3 @@ class GrowingSet:
     @property
     def size_bytes(self) -> int:
         return sum(p.size_bytes for p in self.parts)
-
-    @property
-    def false_positive_rate(self) -> float:
-        return self.n / 2.0**self.bits

@@ -94,8 +94,9 @@ def _through_sets(batches: Iterator[pa.RecordBatch], bits: int, audit: bool) ->
             if buckets[a] != bucket:
                 bucket, known = buckets[a], GrowingSet(bits)
             i = a + np.flatnonzero(~hit[a:b])
-            rate[i] = known.false_positive_rate
+            before = known.n
             hit[i] = known.probe_and_add(reduce_hash(h[i], bits))
+            rate[i] = (before + np.cumsum(~hit[i]) - ~hit[i]) / 2.0**bits
             size[a:b] = known.size_bytes
         if audit:
             yield from t.append_column("hit", pa.array(hit)).append_column("rate", pa.array(rate)).append_column("bytes", pa.array(size)).to_batches()
