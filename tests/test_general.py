@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from urlsieve.operators.nested import BadJson, events, flatten, record_triples, snake
 from urlsieve.operators.skew import Measure, eager_join_aggregate, salted_join
@@ -22,14 +23,21 @@ def test_triples():
     assert ("resolved_ips[]", (0,), "s", "a") in got and ("resolved_ips[]", (1,), "l", None) in got
     assert ("x[].y", (0,), "n", "1") in got and ("x[]", (1,), "n", "2") in got and ("s", (), "s", "[no") in got
     assert len(record_triples("[" * 20_000 + "]" * 20_000)) == 20_000
+    deep = '["x"]'
+    for _ in range(9):  # a list in a string in a list, and so on
+        deep = json.dumps([deep])
+    assert record_triples(deep)[-1] == ("[]" * 10, (0,) * 10, "s", "x")
+    lone = record_triples('{"a": {"b": 1}, "c": {"a": "{\\"b\\": 2}"}, "d": {"a": null}, "e": {"a": [3]}, "f": {"a": "[4]"}}', frozenset("a"))
+    assert [x for x in lone if x[0].endswith("b") or x[2] == "n"] == [("a[].b", (0,), "n", "1"), ("c.a[].b", (0,), "n", "2"), ("e.a[]", (0,), "n", "3"), ("f.a[]", (0,), "n", "4")]
+    assert ("d.a", (), "l", None) in lone
     assert snake("Resolved-IPs") == snake("resolvedIPs") == "resolved_ips"
 
 
 def test_flatten(spark):
     df = spark.createDataFrame([(1, '{"pos": 7, "a": [{"pos": 3, "z": "q"}, null, {"b": [1]}]}', "x"), (2, None, "y"), (3, "", "z"), (4, "{", "w")], "id bigint, j string, ords string")
-    t = flatten(df, "id", "j", {"": ["pos"], "a[]": ["pos"]})
+    t = flatten(df, "id", "j", {"": ["pos"], r"a\[\]": ["pos"]})
     assert [(r.id, r.f_pos) for r in t[""].collect()] == [(1, "7")]
-    rows = sorted(t["a[]"].collect(), key=lambda r: r.pos)
+    rows = sorted(t[r"a\[\]"].collect(), key=lambda r: r.pos)
     assert [(r.pos, r.f_pos, r.rest) for r in rows] == [(0, "3", {"z": "q"}), (1, None, {}), (2, None, {})]
     assert flatten(df.limit(0), "id", "j", {"": ["pos"]})[""].count() == 0
 
@@ -50,6 +58,13 @@ def test_salted_join(spark):
     assert got == sorted([("hot", i, "h") for i in range(100)] + [("cold", 1, "c")])
     assert salted_join(left, right, ["k"], "n", 7, "left").count() == 103
     assert salted_join(left.limit(0), right, ["k"], "n").count() == 0
+    assert sorted(map(tuple, salted_join(left, right, ["k"], "n", hot_rows=0, most_hot=1).collect())) == got
+
+
+def test_salted_join_spreads(spark):
+    left = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 3 == 1, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"), "id")
+    joined = salted_join(left, left.groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("w", F.lit(1)), ["k"], "n", hot_rows=100, how="left")
+    assert joined.count() == 3000 and joined.filter("k = 'hot' and w = 1").count() == 1000 and joined.filter("k is null and w is null").count() == 1000
 
 
 def test_eager_aggregate(spark):
@@ -62,6 +77,8 @@ def test_eager_aggregate(spark):
     outer = {r.item: (r.left_rows, r.joined_rows, r.first) for r in eager_join_aggregate(left, right, "k", ["d"], m, "left").collect()}
     assert outer == {"g": (4, 6, 3), "h": (1, 1, 6)}
     assert eager_join_aggregate(left.limit(0), right, "k", ["d"], m).count() == 0
+    by_key = {r.item: (r.left_rows, r.joined_rows) for r in eager_join_aggregate(left, right, "k", ["k"], m, "left").collect()}
+    assert by_key == {"a": (2, 4), "b": (2, 2), "c": (1, 1)}
 
 
 def test_entry(spark, folder):

@@ -172,7 +172,7 @@ def parse(df: DataFrame, url: str = "url") -> DataFrame:
     """df with one row's parse columns added (the df must not have columns of these names):
 
     given, cleaned, defanged, special, normalized, explicit, scheme, netloc, path, query, fragment, username, port,
-    port_invalid, valid, broken, host, host_uni, is_ip, ip, obfuscated_ip, ip_private, subdomain, sld, suffix, sub_uni,
+    port_invalid, valid, broken, crashed, host, host_uni, is_ip, ip, obfuscated_ip, ip_private, subdomain, sld, suffix, sub_uni,
     sld_uni, registered_domain, free_hosting, mixed_label, bad_labels, uni_digits.
     A null URL is treated as ''. `valid` is false where the URL can't be split (`broken`) or has no host.
     """
@@ -215,6 +215,7 @@ def parse(df: DataFrame, url: str = "url") -> DataFrame:
         ((F.col("__port") != "") & F.coalesce(F.col("__n") > 65535, F.lit(True))).alias("port_invalid"),
         ok.alias("valid"),
         (~F.coalesce("__f.valid", F.lit(True))).alias("broken"),
+        F.coalesce("__f.crashed", F.lit(False)).alias("crashed"),
         F.when(ok, F.col("__host")).otherwise("").alias("host"),
         F.when(ok, F.col("__uni")).otherwise("").alias("host_uni"),
         ip.alias("is_ip"),

@@ -1,4 +1,5 @@
-"""Block-listed URLs and domains (B1, J-3, J-4): equality joins on keys; suffixes are exploded for distinct hosts only."""
+"""Block-listed URLs and domains (B1, J-3, J-4): equality joins on keys; suffixes are exploded for distinct
+hosts only, and what a key or host finds goes back to its rows with hot ones split."""
 
 from __future__ import annotations
 
@@ -6,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import canonical_key, host_suffixes
+from ..runtime import cut
+from .skew import lookup_join
 
 #: Fixed value: points of a block-list hit.
 POINTS = 70
@@ -21,10 +24,10 @@ def match_hosts(hosts: DataFrame, domains: DataFrame) -> DataFrame:
 def add_blocklist(s: DataFrame, urls: DataFrame, domains: DataFrame) -> DataFrame:
     """Appends B1 to `found` of non-terminal rows. A URL hit beats a domain hit."""
     keys = urls.select(F.col("key").alias("__key")).distinct().withColumn("__url_hit", F.lit(True))
-    s = s.withColumn("__key", canonical_key(F.col("normalized"))).join(keys, "__key", "left")
-    hosts = match_hosts(s.filter(F.col("terminal").isNull()).select("host"), domains).select(F.col("host").alias("__host"), F.col("domain").alias("__domain"))
-    s = s.join(hosts, s["host"] == hosts["__host"], "left")
+    s = cut(s.withColumn("__key", canonical_key(F.col("normalized"))))
+    hosts = match_hosts(s.filter(F.col("terminal").isNull()).select("host"), domains).select("host", F.col("domain").alias("__domain"))
+    s = lookup_join(cut(lookup_join(s, keys, "__key")), hosts, "host")
     what = F.when(F.col("__url_hit"), F.lit("URL")).when(F.col("__domain").isNotNull(), F.concat(F.lit("domain "), F.col("__domain")))
     hit = F.struct(F.size("found").alias("seq"), F.lit("B1").alias("rule_id"), F.lit("intel").alias("category"), F.lit(POINTS).alias("points"), F.concat(F.lit("block-listed "), what).alias("message"))
     found = F.when(what.isNotNull() & F.col("terminal").isNull(), F.concat("found", F.array(hit))).otherwise(F.col("found"))
-    return s.withColumn("found", found).drop("__key", "__url_hit", "__host", "__domain")
+    return s.withColumn("found", found).drop("__key", "__url_hit", "__domain")

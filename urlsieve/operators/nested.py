@@ -1,27 +1,28 @@
 """Nested records to related flat tables (core, problem 3).
 
-triples() stream-parses JSON text into (path, ordinals, value) rows: one token after another, an explicit stack,
+record_triples() stream-parses JSON text into (path, ordinals, value) rows: one token after another, an explicit stack,
 no object tree, so neither depth nor size of a record is limited by the interpreter's recursion.
-flatten() groups the triples by repeated ancestor and pivots each group into one row an element.
+elements() groups a record's triples by repeated ancestor and pivots each group into one row an element. A record lies
+in one row, so both happen where it is read: no shuffle, whatever its shape. flatten() makes a table of each group.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Mapping, Sequence
+from functools import lru_cache
 from json.decoder import scanstring
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: One JSON token: white space, then punctuation, number, literal, or the quote that opens a string.
-TOKEN = re.compile(r'[ \t\r\n]*(?:([{}\[\],:])|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)(?![0-9.eE+-])|(true|false|null)(?![A-Za-z0-9_])|(")|$)')
+#: One JSON token after white space: punctuation, plain string, number, literal, or the quote that opens another string.
+TOKEN = re.compile(r'[ \t\r\n]*(?:([{}\[\],:])|"([^"\\\x00-\x1f]*)"|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)(?![0-9.eE+-])|(true|false|null)(?![A-Za-z0-9_])|(")|$)')
+_PUNCT, _PLAIN, _NUMBER, _LITERAL, _QUOTE = range(1, 6)
 
-#: How deep a list written as a string inside a string is unpacked.
-MAX_QUOTED = 4
-
-TRIPLES = "path string, ords array<int>, kind string, value string"
+#: Rows that a task holds before it hands them on.
+BATCH = 50_000
 
 
 class BadJson(ValueError):
@@ -32,186 +33,222 @@ def events(text: str) -> Iterator[tuple[str, str | None]]:
     """Tokens of one JSON text, checked against the grammar: '{', '}', '[', ']', ('k', name), ('s'|'n'|'l', value)."""
     stack: list[str] = []
     want = "value"  # value, key, key|}, value|], colon, comma, end
-    pos, n = 0, len(text)
+    pos, n, match = 0, len(text), TOKEN.match
     while True:
-        m = TOKEN.match(text, pos)
+        m = match(text, pos)
         if m is None:
             raise BadJson("no token")
-        pos = m.end()
-        punct, number, literal, quote = m.groups()
-        if punct is None and number is None and literal is None and quote is None:
+        pos, kind = m.end(), m.lastindex
+        if kind is None:
             if want != "end" or pos < n:
                 raise BadJson("cut off")
             return
         if want == "end":
             raise BadJson("text after the record")
-        if quote:
-            try:
-                value, pos = scanstring(text, pos, True)
-            except ValueError as e:
-                raise BadJson(str(e)) from None
-            if want in ("key", "key|}"):
-                yield "k", value
+        token = m.group(kind)
+        if kind == _PLAIN or kind == _QUOTE:
+            if kind == _QUOTE:
+                try:
+                    token, pos = scanstring(text, pos, True)
+                except ValueError as e:
+                    raise BadJson(str(e)) from None
+            if want == "key" or want == "key|}":
+                yield "k", token
                 want = "colon"
                 continue
-            if want not in ("value", "value|]"):
+            if want != "value" and want != "value|]":
                 raise BadJson("string out of place")
-            yield "s", value
-        elif punct == ":":
-            if want != "colon":
-                raise BadJson("colon out of place")
-            want = "value"
-            continue
-        elif punct == ",":
-            if want != "comma":
-                raise BadJson("comma out of place")
-            want = "key" if stack[-1] == "{" else "value"
-            continue
-        elif punct in ("{", "["):
-            if want not in ("value", "value|]"):
-                raise BadJson("bracket out of place")
-            stack.append(punct)
-            yield punct, None
-            want = "key|}" if punct == "{" else "value|]"
-            continue
-        elif punct in ("}", "]"):
-            opened = "{" if punct == "}" else "["
-            if not stack or stack[-1] != opened or want not in ("comma", "key|}" if punct == "}" else "value|]"):
+            yield "s", token
+        elif kind == _PUNCT:
+            if token == ":":
+                if want != "colon":
+                    raise BadJson("colon out of place")
+                want = "value"
+                continue
+            if token == ",":
+                if want != "comma":
+                    raise BadJson("comma out of place")
+                want = "key" if stack[-1] == "{" else "value"
+                continue
+            if token in "{[":
+                if want != "value" and want != "value|]":
+                    raise BadJson("bracket out of place")
+                stack.append(token)
+                yield token, None
+                want = "key|}" if token == "{" else "value|]"
+                continue
+            opened = "{" if token == "}" else "["
+            if not stack or stack[-1] != opened or want not in ("comma", "key|}" if token == "}" else "value|]"):
                 raise BadJson("bracket out of place")
             stack.pop()
-            yield punct, None
+            yield token, None
         else:
-            if want not in ("value", "value|]"):
+            if want != "value" and want != "value|]":
                 raise BadJson("value out of place")
-            yield ("n", number) if number is not None else ("l", literal)
+            yield ("n" if kind == _NUMBER else "l"), token
         want = "comma" if stack else "end"
 
 
+@lru_cache(1 << 14)
 def snake(name: str) -> str:
     """One writing for a field's name: resolvedIps, Resolved-IPs and resolved_ips agree."""
     name = re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z](?:[a-rt-z]|s[a-z]))", "_", name.strip())
     return re.sub(r"[^0-9a-z\x80-\U0010ffff]+", "_", name.lower()).strip("_")
 
 
-def record_triples(text: str, quoted: int = 0) -> list[tuple[str, tuple[int, ...], str, str | None]]:
+Triple = tuple[str, tuple[int, ...], str, str | None]
+
+
+def record_triples(text: str, repeated: frozenset[str] = frozenset()) -> list[Triple]:
     """(path, ordinals, kind, value) of every node: kinds '{' and '[' for containers, s, n, l for leaves.
 
-    A path joins snake-cased names by '.', '[]' marks a list level; ordinals hold the position at each '[]'.
-    A string that itself is a JSON list or object is read as such (to MAX_QUOTED levels), else it stays a string.
-    Raises BadJson if the text isn't JSON.
+    A path joins snake-cased names by '.', '[]' marks a list level; ordinals hold the position at each '[]'. A string
+    that itself is a JSON list or object is read as such at any depth (each level of quoting doubles the marks of the
+    one inside, so the depth is at most the logarithm of the size), else it stays a string. What stands, not null and
+    no list, under a name in `repeated` is taken as a list of one. Raises BadJson if the text isn't JSON.
     """
-    out: list[tuple[str, tuple[int, ...], str, str | None]] = []
-    path, ords = "", ()
-    frames: list[tuple[str, tuple[int, ...], str, int]] = []  # path and ordinals of the container, its kind, next position
+    out: list[Triple] = []
+    frames: list[list] = []  # of each open container its path, its ordinals, whether it is a list, its next position
     key = ""
-
-    def place() -> tuple[str, tuple[int, ...]]:
-        if not frames:
-            return "", ()
-        p, o, kind, at = frames[-1]
-        if kind == "{":
-            return (f"{p}.{key}" if p else key), o
-        frames[-1] = (p, o, kind, at + 1)
-        return p + "[]", (*o, at)
-
     for kind, value in events(text):
         if kind == "k":
-            key = snake(value or "")
-        elif kind in "{[":
-            path, ords = place()
-            out.append((path, ords, kind, None))
-            frames.append((path, ords, kind, 0))
-        elif kind in "}]":
+            key = snake(value)
+            continue
+        if kind == "}" or kind == "]":
             frames.pop()
+            continue
+        lone = False
+        if not frames:
+            path, ords = "", ()
         else:
-            path, ords = place()
-            if kind == "s" and quoted < MAX_QUOTED and value and (head := value.lstrip()[:1]) and head in "[{":
-                try:
-                    inner = record_triples(value, quoted + 1)
-                except BadJson:
-                    inner = None
-                if inner is not None:
-                    out += [(path + (("" if not p or p.startswith("[]") or not path else ".") + p), ords + o, k, v) for p, o, k, v in inner]
-                    continue
-            out.append((path, ords, kind, None if kind == "l" and value == "null" else value))
+            path, ords, listed, at = frame = frames[-1]
+            if listed:
+                path, ords = path + "[]", (*ords, at)
+                frame[3] = at + 1
+            else:
+                path, lone = (f"{path}.{key}" if path else key), key in repeated
+        null = kind == "l" and value == "null"
+        if kind == "s" and value and (head := value.lstrip()[:1]) and head in "[{":
+            try:
+                inner = record_triples(value, repeated)
+            except BadJson:
+                inner = None
+            if inner is not None:
+                if lone and head == "{":
+                    path, ords = path + "[]", (*ords, 0)
+                out += [(path + ("." + p if p and path and not p.startswith("[]") else p), ords + o, k, v) for p, o, k, v in inner]
+                continue
+        if lone and kind != "[" and not null:
+            path, ords = path + "[]", (*ords, 0)
+        if kind == "{" or kind == "[":
+            frames.append([path, ords, kind == "[", 0])
+        out.append((path, ords, kind, None if null else value))
     return out
 
 
-def triples(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    """(id, path, ords, kind, value): one row per node of each record.
+@lru_cache(1 << 14)
+def _split(path: str) -> tuple[str, str]:
+    """The repeated ancestor of a path (up to its last '[]') and the rest."""
+    at = path.rfind("[]") + 2
+    return (path[:at], path[at:].lstrip(".")) if at > 1 else ("", path)
 
-    Null, empty and invalid texts give no rows. Repeated names in one object give one row each. Map-only.
-    """
+
+Element = tuple[str, tuple[int, ...], str | None, str | None, dict[str, str | None]]
+
+
+def record_elements(nodes: Iterable[Triple]) -> list[Element]:
+    """Triples of one record grouped by repeated ancestor and pivoted: (ancestor, ordinals, kind, value, fields) of every
+    element; ancestor '' is the record itself. The last of repeated names wins."""
+    made: dict[tuple, list] = {}
+    for path, ords, kind, value in nodes:
+        ancestor, leaf = _split(path)
+        e = made.get((ancestor, ords))
+        if e is None:
+            e = made[ancestor, ords] = [ancestor, ords, None, None, {}]
+        if not leaf:
+            e[2], e[3] = kind, value
+        elif kind not in "{[":
+            e[4][leaf] = value
+    return [tuple(e) for e in made.values()]
+
+
+def _mapped(df: DataFrame, id_col: str, json_col: str, columns: str, rows_of) -> DataFrame:
+    """Rows made of each valid record, id in front. columns: their schema; rows_of: text -> rows."""
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema  # the schema of the output, on the worker
+        types = {"string": pa.string(), "array<int>": pa.list_(pa.int32()), "map<string,string>": pa.map_(pa.string(), pa.string())}
+        fields = [c.split(" ") for c in columns.split(", ")]
+
+        def pack(ids: list, rows: list, id_arrow: pa.DataType) -> pa.RecordBatch:
+            cols = [pa.array(c, types[t]) for c, (_, t) in zip(zip(*rows), fields)]
+            return pa.RecordBatch.from_arrays([pa.array(ids, id_arrow), *cols], names=[id_col, *[n for n, _ in fields]])
 
         for batch in batches:
-            ids, cols = [], ([], [], [], [])
+            ids, rows, id_arrow = [], [], batch.schema.field(0).type
             for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if text is None:
                     continue
                 try:
-                    rows = record_triples(text)
+                    made = rows_of(text)
                 except BadJson:
                     continue
-                ids += [rid] * len(rows)
-                for r in rows:
-                    for col, v in zip(cols, r):
-                        col.append(v)
-                if len(ids) >= 50_000:
-                    yield pack(ids, cols, batch.schema.field(0).type)
-                    ids, cols = [], ([], [], [], [])
+                ids += [rid] * len(made)
+                rows += made
+                if len(ids) >= BATCH:
+                    yield pack(ids, rows, id_arrow)
+                    ids, rows = [], []
             if ids:
-                yield pack(ids, cols, batch.schema.field(0).type)
+                yield pack(ids, rows, id_arrow)
 
-    def pack(ids: list, cols: tuple[list, ...], id_arrow: pa.DataType) -> pa.RecordBatch:
-        arrays = [pa.array(ids, id_arrow), pa.array(cols[0], pa.string()), pa.array([list(o) for o in cols[1]], pa.list_(pa.int32())), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())]
-        return pa.RecordBatch.from_arrays(arrays, names=[id_col, "path", "ords", "kind", "value"])
+    return df.select(id_col, json_col).mapInArrow(run, f"`{id_col}` {id_type}, {columns}")
 
-    return df.select(id_col, json_col).mapInArrow(run, f"`{id_col}` {id_type}, {TRIPLES}")
+
+def triples(df: DataFrame, id_col: str, json_col: str, repeated: Iterable[str] = ()) -> DataFrame:
+    """(id, path, ords, kind, value): one row per node of each record.
+
+    Null, empty and invalid texts give no rows. Repeated names in one object give one row each. Map-only.
+    """
+    names = frozenset(repeated)
+    return _mapped(df, id_col, json_col, "path string, ords array<int>, kind string, value string", lambda text: record_triples(text, names))
 
 
-def elements(nodes: DataFrame, id_col: str) -> DataFrame:
-    """Pivot triples: one row per element of a repeated ancestor, for all ancestors at once.
+def elements(df: DataFrame, id_col: str, json_col: str, repeated: Iterable[str] = (), ancestors: str = ".*") -> DataFrame:
+    """(id, ancestor, ords, kind, value, fields): one row per element of a repeated ancestor, for all ancestors that the
+    regular expression matches as a whole.
 
-    Columns: id, ancestor (the path up to its last '[]', '' for the record itself), ords (the element's key; all but
-    the last entry are the parent's key, its ancestor is `parent`), kind (of the element itself), value (if it is a
-    leaf), fields map<name, value> with the element's own leaves. The last of repeated names wins.
+    ords is the element's key; all but its last entry are its parent's, whose ancestor is the path up to the last '[]'
+    but one. kind and value are the element's own, fields hold its leaves by name. Null, empty and invalid texts give
+    no rows; equal ids stay apart in their rows. Map-only.
     """
-    own = F.regexp_extract("path", r"^(.*\[\])?([^\[\]]*)$", 1)
-    leaf = F.regexp_replace(F.regexp_extract("path", r"^(.*\[\])?([^\[\]]*)$", 2), r"^\.", "")
-    rows = nodes.select(id_col, own.alias("ancestor"), leaf.alias("leaf"), "ords", "kind", "value")
-    named = F.collect_list(F.when((F.col("leaf") != "") & ~F.col("kind").isin("{", "["), F.struct("leaf", "value")))
-    self_kind = F.max(F.when(F.col("leaf") == "", F.col("kind"))).alias("kind")
-    self_value = F.max(F.when(F.col("leaf") == "", F.col("value"))).alias("value")
-    last = F.map_from_entries(F.array_sort(F.transform(F.array_distinct(F.transform(F.col("n"), lambda x: x["leaf"])), lambda k: F.struct(k.alias("k"), F.element_at(F.filter(F.col("n"), lambda x: x["leaf"] == k), -1)["value"].alias("v")))))
-    return (
-        rows.groupBy(id_col, "ancestor", "ords")
-        .agg(named.alias("n"), self_kind, self_value)
-        .select(id_col, "ancestor", F.regexp_replace("ancestor", r"[^\[\]]*\[\]$", "").alias("parent"), "ords", "kind", "value", last.alias("fields"))
-    )
-
-
-def flatten(df: DataFrame, id_col: str, json_col: str, columns: dict[str, list[str]]) -> dict[str, DataFrame]:
-    """Related tables: for each repeated ancestor in `columns` a table with id, ords, pos, parent_ords and the named leaves.
-
-    Fields beyond the named ones stay in the map column `rest`, so nothing is lost. A field named like one of the key
-    columns gets the prefix 'f_'.
+    names = frozenset(repeated)
+    pattern = re.compile(ancestors)
+
+    def rows_of(text: str) -> list[tuple]:
+        return [(a, o, k, v, list(f.items())) for a, o, k, v, f in record_elements(record_triples(text, names)) if pattern.fullmatch(a)]
+
+    return _mapped(df, id_col, json_col, "ancestor string, ords array<int>, kind string, value string, fields map<string,string>", rows_of)
+
+
+def flatten(df: DataFrame, id_col: str, json_col: str, tables: Mapping[str, Sequence[str]], repeated: Iterable[str] = ()) -> dict[str, DataFrame]:
+    """Related tables. tables: an expression for the ancestors of a table (as a whole) and the leaves it shows.
+
+    Each has id, ancestor, ords, parent_ords, pos, kind, value, the named leaves and the other leaves in the map `rest`,
+    so nothing is lost. A leaf named like one of those columns gets the prefix 'f_'.
     """
-    all_rows = elements(triples(df, id_col, json_col), id_col)
-    taken = {id_col, "ords", "pos", "parent_ords", "rest", "value"}
+    taken = {id_col, "ancestor", "ords", "pos", "parent_ords", "kind", "value", "rest"}
     made = {}
-    for ancestor, names in columns.items():
-        rows = all_rows.filter(F.col("ancestor") == ancestor)
+    for ancestor, names in tables.items():
+        rows = elements(df, id_col, json_col, repeated, ancestor)
         made[ancestor] = rows.select(
             id_col,
+            "ancestor",
             "ords",
             F.slice("ords", 1, F.greatest(F.size("ords") - 1, F.lit(0))).alias("parent_ords"),
-            F.element_at("ords", -1).alias("pos") if ancestor else F.lit(0).alias("pos"),
+            F.coalesce(F.try_element_at("ords", F.lit(-1)), F.lit(0)).alias("pos"),
+            "kind",
             "value",
             *[F.col("fields")[n].alias(f"f_{n}" if n in taken else n) for n in names],
-            F.map_filter("fields", lambda k, _: ~k.isin(names)).alias("rest"),
+            F.map_filter("fields", lambda k, _: ~k.isin(*names)).alias("rest"),
         )
     return made

@@ -19,6 +19,8 @@ from ..functions.text import tokens
 from ..functions.urls import ascii_registered_domain, below_any, domain_parts, ipv4_value, registered
 from ..runtime import cut
 from ..sources.observations import observation
+from .rules import listed
+from .skew import lookup_join
 
 RAW = "array<struct<rule_id: string, category: string, points: int, message: string>>"
 #: Statuses that redirect; days that make a certificate or a domain young.
@@ -62,13 +64,15 @@ def hosted(df: DataFrame, url: str) -> DataFrame:
     return s.drop("__odd", "__u", "__h", "__s")
 
 
-def dns_rules(ips: Column, error: Column, all_global: Column, is_ip: Column) -> Column:
-    """N01 to N03."""
-    failed = error.isNotNull() | (F.coalesce(F.size(ips), F.lit(0)) == 0)
+def dns_rules(ips: Column, error: Column, all_global: Column, is_ip: Column, observed: Column | None = None) -> Column:
+    """N01 to N03. A host without an observation was not looked up: that is told (N00) and costs no points."""
+    looked = F.lit(True) if observed is None else (is_ip | observed)
+    failed = looked & (error.isNotNull() | (F.coalesce(F.size(ips), F.lit(0)) == 0))
     return rules(
+        rule("N00", "info", 0, "host was not looked up", ~looked),
         rule("N01", "dns", 8, F.coalesce(error, F.lit("host was not resolved")), failed),
-        rule("N02", "dns", 10, "name resolves to an address that isn't public", ~failed & ~is_ip & F.exists(all_global, lambda g: ~g)),
-        rule("N03", "dns", 5, F.concat(F.size(ips).cast("string"), F.lit(" addresses")), ~failed & (F.size(ips) > MANY_ADDRESSES)),
+        rule("N02", "dns", 10, "name resolves to an address that isn't public", looked & ~failed & ~is_ip & F.exists(all_global, lambda g: ~g)),
+        rule("N03", "dns", 5, F.concat(F.size(ips).cast("string"), F.lit(" addresses")), looked & ~failed & (F.size(ips) > MANY_ADDRESSES)),
     )
 
 
@@ -79,55 +83,82 @@ def dns_table(observations: dict, spark) -> DataFrame:
     return dns.select("host", ips.alias("ips"), "error").withColumns({"global": ips_global("ips"), "reachable": ips_reachable("ips")})
 
 
+def nodes(starts: DataFrame, hops: DataFrame, dns: DataFrame, options: Options, now: Column) -> DataFrame:
+    """What a walk meets at each URL it can come to, worked out once per URL: (current, h_host, web, addresses, stop,
+    status, next, leads, distrusted, young). Hosts meet their addresses once per distinct host."""
+    empty = F.array().cast("array<string>")
+    answered = F.col("failure").isNull() & F.col("status").isNotNull()
+    moves = answered & F.col("status").isin(REDIRECTS) & (F.coalesce("location", F.lit("")) != "")
+    pages = hops.select(F.col("url").alias("current"), "status", "tls_error", "cert_not_before", answered.alias("answered"), join_url(F.col("url"), F.when(moves, F.col("location"))).alias("next"), moves.alias("moves"))
+    pages = cut(pages)
+    every = starts.select(F.col("start").alias("current")).unionAll(pages.filter("next.url is not null").select("next.url")).distinct()
+    names = dns.select(F.col("host").alias("h_host"), F.col("ips").alias("d_ips"), "error", "reachable", F.lit(True).alias("looked"))
+    s = lookup_join(cut(hosted(every, "current")), names, "h_host").join(pages, "current", "left")
+    addresses = F.when(F.col("h_ip"), F.array("h_host")).when(F.col("error").isNull(), F.col("d_ips"))
+    s = s.withColumn("addresses", F.coalesce(addresses, empty))
+    s = s.withColumn("u_reach", F.coalesce(ips_reachable(F.when(F.col("h_ip"), F.col("addresses"))), F.col("reachable")))
+    usable = F.lit(True) if options.allow_private else F.coalesce(F.exists("u_reach", lambda x: x), F.lit(False))
+    web = F.coalesce(F.col("h_scheme").isin("http", "https") & (F.col("h_host") != ""), F.lit(False))
+    stop = (
+        F.when(~web, "N10")
+        .when(~F.col("h_ip") & F.col("looked").isNull(), "N00")
+        .when(F.size("addresses") == 0, "N11")
+        .when(~usable, "N12")
+        .when(~F.coalesce("answered", F.lit(False)), "N13")
+    )
+    s = s.withColumns({"web": web, "stop": stop})
+    fetched = F.col("stop").isNull()
+    age = F.greatest(F.floor((F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("cert_not_before").cast("timestamp"))) / 86_400_000_000), F.lit(0))
+    return cut(
+        s.select(
+            "current",
+            "h_host",
+            "web",
+            "addresses",
+            "stop",
+            "status",
+            "next",
+            (fetched & F.coalesce("moves", F.lit(False))).alias("leads"),
+            (fetched & (F.coalesce("tls_error", F.lit("")) != "")).alias("distrusted"),
+            (fetched & F.col("cert_not_before").isNotNull() & (age <= YOUNG_CERTIFICATE)).alias("young"),
+        )
+    )
+
+
 def walk(starts: DataFrame, hops: DataFrame, dns: DataFrame, options: Options, now: Column) -> DataFrame:
     """NET-7 over starts(start), distinct: (start, chain, reached, aborted, status, final_url, ips, found).
 
     found are the walk's indicators in order; a malformed Location aborts the walk and loses them. `status` is null
-    where no response ended the walk. Each round joins the URLs under way to their host's addresses and their hop.
+    where no response ended the walk. A host that was not looked up ends the walk like a failed request. Each round
+    joins the URLs under way to nodes(); many walks may come to one URL.
     """
+    met = nodes(starts, hops, dns, options, now)
     state = cut(
         starts.select("start", F.col("start").alias("current"), F.array("start").alias("chain"), F.lit(False).alias("reached"), none().alias("found"), F.array().cast("array<string>").alias("warned"), F.lit(None).cast("array<string>").alias("ips"))
     )
     ended: list[DataFrame] = []
-    empty = F.array().cast("array<string>")
-    names = dns.select(F.col("host").alias("h_host"), F.col("ips").alias("d_ips"), "error", "reachable")
-    pages = hops.select(F.col("url").alias("current"), "status", "location", "tls_error", "cert_not_before", "failure", F.lit(True).alias("observed"))
     for redirects in range(options.max_redirects + 1):
-        s = hosted(state, "current").join(names, "h_host", "left").join(pages, "current", "left")
-        web = F.coalesce(F.col("h_scheme").isin("http", "https") & (F.col("h_host") != ""), F.lit(False))
+        s = lookup_join(state, met, "current")
         moved = redirects > 0
-        addresses = F.when(F.col("h_ip"), F.array("h_host")).when(F.col("error").isNull(), F.col("d_ips"))
-        usable = F.lit(True) if options.allow_private else F.exists("u_reach", lambda x: x)
-        s = s.withColumn("a", F.coalesce(addresses, empty)).withColumn("u_reach", ips_reachable(F.when(F.col("h_ip"), F.col("a"))))
-        s = s.withColumn("u_reach", F.when(F.col("h_ip"), F.col("u_reach")).otherwise(F.col("reachable")))
-        stop = (
-            F.when(~web, "N10")
-            .when(F.size("a") == 0, "N11")
-            .when(~F.coalesce(usable, F.lit(False)), "N12")
-            .when(F.col("observed").isNull() | F.col("failure").isNotNull() | F.col("status").isNull(), "N13")
-        )
-        s = s.withColumn("stop", stop)
         blocked = (
             F.when(F.col("stop") == "N10", rule("N10", "network" if moved else "info", 15 if moved else 0, "not a web address"))
             .when((F.col("stop") == "N11") & F.lit(moved), rule("N11", "network", 8, "target was not resolved"))
             .when(F.col("stop") == "N12", rule("N12", "network" if moved else "info", 20 if moved else 0, "address isn't public"))
-            .when(F.col("stop") == "N13", rule("N13", "info", 0, "request failed"))
+            .when((F.col("stop") == "N13") | ((F.col("stop") == "N00") & F.lit(moved)), rule("N13", "info", 0, "request failed"))
         )
-        age = F.greatest(F.floor((F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("cert_not_before").cast("timestamp"))) / 86_400_000_000), F.lit(0))
-        fetched = F.col("stop").isNull()
-        leads = fetched & F.col("status").isin(REDIRECTS) & (F.coalesce("location", F.lit("")) != "")
-        s = s.withColumn("next", join_url(F.col("current"), F.when(leads, F.col("location"))))
-        warn = fetched & F.col("tls_error").isNotNull() & (F.col("tls_error") != "") & ~F.array_contains("warned", F.col("h_host"))
+        warn = F.col("distrusted") & ~F.array_contains("warned", F.col("h_host"))
         too_many = redirects + 1 > options.max_redirects
         loop = F.array_contains("chain", F.col("next.url"))
+        led = F.col("leads") & F.col("next.url").isNotNull()
         more = rules(
             blocked,
             rule("N14", "tls", 15, F.concat(F.lit("certificate not trusted: "), F.col("h_host")), warn),
-            rule("N15", "tls", 8, "certificate is new", fetched & F.col("cert_not_before").isNotNull() & (age <= YOUNG_CERTIFICATE)),
-            rule("N16", "network", 10, "too many redirects", leads & F.col("next.url").isNotNull() & F.lit(too_many)),
-            rule("N17", "network", 8, "redirect loop", leads & F.col("next.url").isNotNull() & F.lit(not too_many) & loop),
+            rule("N15", "tls", 8, "certificate is new", F.col("young")),
+            rule("N16", "network", 10, "too many redirects", led & F.lit(too_many)),
+            rule("N17", "network", 8, "redirect loop", led & F.lit(not too_many) & loop),
         )
-        on = leads & F.col("next.url").isNotNull() & ~loop & F.lit(not too_many)
+        on = led & ~loop & F.lit(not too_many)
+        fetched = F.col("stop").isNull()
         s = s.select(
             "start",
             F.when(on, F.col("next.url")).otherwise(F.col("current")).alias("current"),
@@ -135,9 +166,9 @@ def walk(starts: DataFrame, hops: DataFrame, dns: DataFrame, options: Options, n
             (F.col("reached") | fetched).alias("reached"),
             F.concat("found", more).alias("found"),
             F.when(warn, F.array_append("warned", F.col("h_host"))).otherwise(F.col("warned")).alias("warned"),
-            F.coalesce("ips", F.when(web, F.col("a"))).alias("ips"),
-            F.when(fetched & ~leads, F.col("status")).alias("status"),
-            F.coalesce("next.failed", F.lit(False)).alias("aborted"),
+            F.coalesce("ips", F.when(F.col("web"), F.col("addresses"))).alias("ips"),
+            F.when(fetched & ~F.col("leads"), F.col("status")).alias("status"),
+            (F.col("leads") & F.coalesce("next.failed", F.lit(False))).alias("aborted"),
             F.coalesce(on, F.lit(False)).alias("on"),
         )
         s = cut(s)
@@ -149,10 +180,14 @@ def walk(starts: DataFrame, hops: DataFrame, dns: DataFrame, options: Options, n
     return every.select("start", "chain", "reached", "aborted", "status", F.element_at("chain", -1).alias("final_url"), "ips", "found")
 
 
+def telling_forms(page: Column, final_domain: Column, final_scheme: Column) -> Column:
+    """The forms of a page that show something; the first of them counts."""
+    return F.filter(page["forms"], lambda f: (f["target_domain"] != final_domain) | ((f["password"] > 0) & (f["target_scheme"] == "http") & (final_scheme == "https")))
+
+
 def content_rules(page: Column, final_domain: Column, final_scheme: Column, config: Config) -> Column:
     """C1 to C5 over a parse_page() struct. Only the first form that shows something counts."""
-    telling = F.filter(page["forms"], lambda f: (f["target_domain"] != final_domain) | ((f["password"] > 0) & (f["target_scheme"] == "http") & (final_scheme == "https")))
-    form = F.get(telling, 0)
+    form = F.get(telling_forms(page, final_domain, final_scheme), 0)
     elsewhere = form["target_domain"] != final_domain
     words = tokens(page["title_fold"])
     brands = F.array(*[F.struct(F.lit(b).alias("brand"), F.array(*map(F.lit, sorted(d))).alias("domains")) for b, d in config.brands.items() if len(b) >= 4])
@@ -198,9 +233,9 @@ def threat_rules(gsb: Column, vt: Column, options: Options) -> Column:
     return rules(*(g if options.gsb else []), *(v if options.vt else []))
 
 
-def _trusted(host: Column, domain: Column, config: Config) -> Column:
-    parts = domain_parts(host)
-    return ~parts["suffix"].isin(R.FREE_HOSTING_SUFFIXES) & ~below_any(host, R.USER_CONTENT_HOSTS) & domain.isin(*sorted(config.allowlist))
+def _own_name(host: Column) -> Column:
+    """Whether a host's name can vouch for it: not rented below a free or shared suffix."""
+    return ~domain_parts(host)["suffix"].isin(R.FREE_HOSTING_SUFFIXES) & ~below_any(host, R.USER_CONTENT_HOSTS)
 
 
 def network_dim(urls: DataFrame, config: Config, options: Options, observations: dict, now: Column) -> DataFrame:
@@ -212,15 +247,15 @@ def network_dim(urls: DataFrame, config: Config, options: Options, observations:
     s = base
     lookup = F.when(F.col("is_ip"), F.col("ip")).otherwise(F.col("host"))
     found: list[str] = []
-    s = s.withColumn("lookup", lookup).join(dns.select(F.col("host").alias("lookup"), F.col("ips").alias("d_ips"), "error", F.col("global").alias("d_global")), "lookup", "left")
+    s = lookup_join(s.withColumn("lookup", lookup), dns.select(F.col("host").alias("lookup"), F.col("ips").alias("d_ips"), "error", F.col("global").alias("d_global"), F.lit(True).alias("looked")), "lookup")
     own = F.when(F.col("is_ip"), F.array("lookup")).when(F.col("error").isNull(), F.col("d_ips"))
     s = s.withColumn("resolved_ips", F.coalesce(own, F.array().cast("array<string>")))
     if options.dns or options.fetches:
-        s = s.withColumn("n_dns", dns_rules(F.col("resolved_ips"), F.when(~F.col("is_ip"), F.col("error")), F.when(~F.col("is_ip"), F.col("d_global")), F.col("is_ip")))
+        s = s.withColumn("n_dns", dns_rules(F.col("resolved_ips"), F.when(~F.col("is_ip"), F.col("error")), F.when(~F.col("is_ip"), F.col("d_global")), F.col("is_ip"), F.col("looked").isNotNull()))
         found.append("n_dns")
     else:
         s = s.withColumn("resolved_ips", F.array().cast("array<string>"))
-    s = s.drop("lookup", "d_ips", "error", "d_global").withColumns({"final_url": F.col("normalized"), "redirect_chain": F.array().cast("array<string>"), "aborted": F.lit(False)})
+    s = s.drop("lookup", "looked", "d_ips", "error", "d_global").withColumns({"final_url": F.col("normalized"), "redirect_chain": F.array().cast("array<string>"), "aborted": F.lit(False)})
     final_domain, hops_made = F.col("registered_domain"), F.lit(0)
     if options.fetches:
         hops = observation(observations, "hop_obs", spark)
@@ -251,7 +286,7 @@ def network_dim(urls: DataFrame, config: Config, options: Options, observations:
 
         targets = s.filter(elsewhere & ~F.col("aborted")).select("final_url").distinct()
         scored = analyze(targets.select(F.col("final_url").alias("__target")), "__target", config, keep=["__target"]).select(F.col("__target").alias("final_url"), F.col("score").alias("t_score"))
-        s = s.join(scored, "final_url", "left")
+        s = lookup_join(s, scored, "final_url")
         short = F.col("host").isin(*config.shorteners) | F.col("registered_domain").isin(*config.shorteners)
         s = s.withColumn(
             "n_chain",
@@ -263,33 +298,43 @@ def network_dim(urls: DataFrame, config: Config, options: Options, observations:
         )
         found += ["n_walk", "n_chain"]
         if options.content:
+            # pages are read once a URL that walks end at
+            ends = s.select("final_url", "h_scheme", "h_host", "h_domain", "h_ip").distinct()
             bodies = hops.select(F.col("url").alias("final_url"), F.col("content_type").alias("b_type"), F.substring("body", 1, options.body_limit).alias("b_body"))
-            s = s.join(bodies, "final_url", "left")
-            read = ~F.col("aborted") & (F.col("w_status") < 400) & (F.length("b_body") > 0) & ~F.coalesce(~F.col("h_ip") & _trusted(F.col("h_host"), final_domain, config), F.lit(False))
-            s = s.withColumn("page", parse_page(F.when(read, F.col("b_body")), F.col("b_type"), F.col("final_url")))
-            s = s.withColumn("n_page", F.when(F.col("page.failed"), none()).otherwise(F.coalesce(content_rules(F.col("page"), final_domain, F.col("h_scheme"), config), none())))
-            s = s.withColumn("aborted_late", F.coalesce("page.failed", F.lit(False))).drop("b_type", "b_body", "page")
+            domain = F.coalesce("h_domain", F.lit(""))
+            ends = listed(ends.join(bodies, "final_url"), "h_domain", config.allowlist, "h_listed")
+            distrusted = ~F.coalesce(~F.col("h_ip") & F.col("h_listed") & _own_name(F.col("h_host")), F.lit(False))
+            ends = ends.filter((F.length("b_body") > 0) & distrusted).withColumn("page", parse_page(F.col("b_body"), F.col("b_type"), F.col("final_url")))
+            broken = F.coalesce(F.col("page.failed") & (F.size(telling_forms(F.col("page"), domain, F.col("h_scheme"))) == 0), F.lit(False))
+            ends = ends.select("final_url", broken.alias("p_broken"), F.when(~broken, content_rules(F.col("page"), domain, F.col("h_scheme"), config)).alias("p_found"))
+            s = lookup_join(cut(s), cut(ends), "final_url")
+            read = ~F.col("aborted") & (F.col("w_status") < 400)
+            s = s.withColumns({"n_page": F.coalesce(F.when(read, F.col("p_found")), none()), "aborted_late": F.coalesce(read & F.col("p_broken"), F.lit(False))}).drop("p_found", "p_broken")
             found.append("n_page")
     late = F.col("aborted_late") if "aborted_late" in s.columns else F.lit(False)
     if options.rdap:
-        s = s.withColumn("__fd", final_domain)
+        s = cut(s.withColumn("__fd", final_domain))
         pairs = s.select("normalized", "explicit", F.explode(F.array_distinct(F.array("registered_domain", "__fd"))).alias("domain"))
         ages = domain_ages(observation(observations, "rdap_obs", spark), now)
         parts = domain_parts(F.col("domain"))
-        fit = (ipv4_value(F.col("domain")).isNull()) & ~F.col("domain").contains(":") & (parts["suffix"] != "") & ~_trusted(F.col("domain"), registered(parts), config) & ~F.col("domain").isin(*config.shorteners)
-        aged = pairs.filter(fit).join(ages, "domain", "left")
+        pairs = listed(pairs.withColumn("__reg", registered(parts)), "__reg", config.allowlist, "__listed")
+        trusted = F.coalesce(F.col("__listed") & _own_name(F.col("domain")), F.lit(False))
+        fit = (ipv4_value(F.col("domain")).isNull()) & ~F.col("domain").contains(":") & (parts["suffix"] != "") & ~trusted & ~F.col("domain").isin(*config.shorteners)
+        aged = lookup_join(cut(pairs.filter(fit)), ages, "domain")
         missing = F.coalesce("error", F.when(F.col("age").isNull(), F.lit("not observed")))
         aged = aged.select("normalized", "explicit", F.struct("domain", age_rule(F.col("domain"), F.col("age"), missing).alias("r")).alias("x"))
         per = aged.groupBy("normalized", "explicit").agg(F.transform(F.filter(F.array_sort(F.collect_list("x")), lambda x: x["r"].isNotNull()), lambda x: x["r"]).alias("n_age"))  # at most two a URL
         s = s.join(per, ["normalized", "explicit"], "left").withColumn("n_age", F.coalesce(F.col("n_age").cast(RAW), none()))
         found.append("n_age")
     if options.gsb or options.vt:
+        s = cut(s)
         gsb = observation(observations, "gsb_obs", spark).select(F.col("url").alias("__t"), F.struct("threat_types", "error").alias("g"))
         vt = observation(observations, "vt_obs", spark).select(F.col("url").alias("__t"), F.struct("has_report", "malicious", "suspicious", "error").alias("v"))
         every = s.select(F.explode(F.array_distinct(F.array("normalized", "final_url"))).alias("__t")).distinct()
         threats = every.join(gsb, "__t", "left").join(vt, "__t", "left").select("__t", threat_rules(F.col("g"), F.col("v"), options).alias("n"))
+        threats = cut(threats)
         s = s.join(threats.select(F.col("__t").alias("normalized"), F.col("n").alias("n_t1")), "normalized", "left")
-        s = s.join(threats.select(F.col("__t").alias("final_url"), F.col("n").alias("n_t2")), "final_url", "left")
+        s = lookup_join(cut(s), threats.select(F.col("__t").alias("final_url"), F.col("n").alias("n_t2")), "final_url")
         s = s.withColumn("n_threat", F.when(F.col("normalized") == F.col("final_url"), F.coalesce("n_t1", none())).otherwise(F.concat(F.coalesce("n_t1", none()), F.coalesce("n_t2", none()))))
         found.append("n_threat")
     stop = rules(rule("N40", "info", 0, "network stage broke off"))

@@ -6,7 +6,7 @@ row-local. Points and categories are the contract; messages are ours.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -29,6 +29,21 @@ def _decoded(c: Column) -> Column:
     return F.when(c.contains("%"), F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))).otherwise(c)
 
 
+#: Names that a plan holds as constants; a longer list (a ranked one can have a million) is a table that is joined.
+MOST_CONSTANTS = 1000
+
+
+def listed(df: DataFrame, column: str, names: Iterable[str], out: str) -> DataFrame:
+    """df with `out`: whether df[column] is one of names; null stays null. A long list is joined, and broadcast if
+    Spark finds it small enough."""
+    names = sorted(names)
+    if len(names) <= MOST_CONSTANTS:
+        return df.withColumn(out, F.col(column).isin(*names))
+    known = df.sparkSession.createDataFrame([(n,) for n in names], "__name string").withColumn("__in", F.lit(True))
+    joined = df.join(known, F.col(column) == F.col("__name"), "left").withColumn(out, F.when(F.col(column).isNotNull(), F.coalesce("__in", F.lit(False))))
+    return joined.drop("__name", "__in")
+
+
 def texts(df: DataFrame, config: Config) -> DataFrame:
     """Adds fold_host, fold_sub, fold_sld, path_text, query_text (folded, decoded), file_text, embedded, user_text,
     host_tokens, host_compact, path_tokens, params array<struct<key, domain>>, ip- and allowlist facts."""
@@ -42,7 +57,7 @@ def texts(df: DataFrame, config: Config) -> DataFrame:
     s = s.withColumns({"__t": fold_all(F.when(F.col("__hard"), wanted)), "__q": param_facts(F.when(F.col("__hq"), F.col("query")))})
     plain = [F.lower("host_uni"), F.lower("sub_uni"), F.lower("sld_uni"), F.lower(_decoded(F.col("path"))), F.lower(_decoded(F.col("query"))), F.lower(_decoded(F.col("path"))), F.lower(_decoded(F.col("__whole"))), F.lower(_decoded(F.col("username")))]
     names = ["fold_host", "fold_sub", "fold_sld", "path_text", "query_text", "file_text", "embedded", "user_text"]
-    s = s.withColumns({n: F.when(F.col("__hard"), F.get("__t", i)).otherwise(p) for i, (n, p) in enumerate(zip(names, plain))})
+    s = s.withColumns({n: F.when(F.col("__hard"), F.coalesce(F.get("__t", i), p)).otherwise(p) for i, (n, p) in enumerate(zip(names, plain))})
     pairs = F.filter(F.split("query", "&"), lambda x: x != "")
 
     def facts(kv: Column) -> Column:
@@ -59,11 +74,13 @@ def texts(df: DataFrame, config: Config) -> DataFrame:
             "host_tokens": F.array_distinct(tokens(F.col("fold_host"))),
             "host_compact": F.regexp_replace("fold_host", "[^a-z0-9]", ""),
             "path_tokens": F.array_union(tokens(F.col("path_text")), tokens(F.col("query_text"))),
+            "texts_failed": F.col("__hard") & F.col("__t").isNull(),
             "user_content": below_any(F.col("host"), R.USER_CONTENT_HOSTS),
         }
     )
-    trusted = ~F.col("is_ip") & ~F.col("free_hosting") & ~F.col("user_content") & F.col("registered_domain").isin(*sorted(config.allowlist))
-    return s.withColumn("allowlisted", trusted).drop("__whole", "__hard", "__hq", "__t", "__q")
+    s = listed(s, "registered_domain", config.allowlist, "__listed")
+    trusted = ~F.col("is_ip") & ~F.col("free_hosting") & ~F.col("user_content") & F.col("__listed")
+    return s.withColumn("allowlisted", trusted).drop("__whole", "__hard", "__hq", "__t", "__q", "__listed")
 
 
 def _hits(words: list[str], toks: Column, compact: Column | None = None) -> Column:
@@ -219,7 +236,7 @@ def static_groups(df: DataFrame, config: Config, groups: list[str] | None = None
     )
     off_site = F.get(F.filter("x_redirecting", lambda p: p["domain"].isNotNull() & (p["domain"] != F.col("registered_domain"))), 0)["domain"]
     s = s.withColumns({"x_target": off_site, "x_last": F.try_element_at("x_exts", F.lit(-1)), "x_before": F.when(F.size("x_exts") >= 2, F.try_element_at("x_exts", F.lit(-2)))})
-    s = s.withColumn("x_failed", F.coalesce(F.col("x_target") == "!", F.lit(False)))
+    s = s.withColumn("x_failed", F.coalesce(F.col("x_target") == "!", F.lit(False)) | F.col("texts_failed"))
     made = {}
     for group, rules in catalogue(config).items():
         if groups is None or group in groups:

@@ -2,40 +2,54 @@
 
 eager_join_aggregate pre-aggregates both inputs by the join key, joins the compact states, and rolls them up:
 no row of either input takes part in the join itself, so a hot key costs one state row a map task.
-salted_join spreads the rows of hot keys that must be joined row by row over several tasks.
+salted_join spreads the rows of hot keys that must be joined row by row over several tasks; lookup_join finds what each
+distinct key has and brings it back that way.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows that one task may take of one key before the key is split.
 HOT_ROWS = 200_000
+#: Keys that are split at most: the largest ones. One that isn't among them holds less than a 10,000th of the rows.
+MOST_HOT = 10_000
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], rows: str, hot_rows: int = HOT_ROWS, how: str = "inner") -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], rows: str, hot_rows: int = HOT_ROWS, how: str = "inner", most_hot: int = MOST_HOT) -> DataFrame:
     """Join left to right on keys (equality; a null key joins nothing); right[rows] is the number of left rows of its key.
 
-    Right's keys with more than hot_rows left rows are split into ceil(rows / hot_rows) parts: left rows take a part
-    by the hash of all their columns, right rows are repeated once a part. There are at most
-    count(left) / hot_rows such keys, so the broadcast list of hot keys is a 1/hot_rows fraction of left.
-    A key that is repeated in right is split alike for all its rows. Column `rows` is dropped.
+    The most_hot largest keys with more than hot_rows left rows are split into ceil(rows / hot_rows) parts: left rows
+    take a part by the hash of all their columns, right rows are repeated once a part. The broadcast list of split keys
+    has at most most_hot rows. how='left' keeps left rows without a partner; those with a null key are spread over all
+    tasks, as they need none. A key that is repeated in right is split alike for all its rows. Column `rows` is dropped.
     """
     assert how in ("inner", "left")
-    parts = F.ceil(F.col(rows) / F.lit(hot_rows)).cast("int")
-    hot = right.groupBy(*keys).agg(F.max(parts).alias("__parts")).filter(F.col("__parts") > 1)
-    salted = left.join(F.broadcast(hot), list(keys), "left").withColumn(
-        "__salt", F.when(F.col("__parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*left.columns), F.col("__parts").cast("bigint")).cast("int"))
-    )
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    right = right.filter(known)
+    parts = F.ceil(F.col(rows) / F.lit(max(hot_rows, 1))).cast("int")
+    hot = right.groupBy(*keys).agg(F.max(parts).alias("__parts")).filter(F.col("__parts") > 1).orderBy(F.desc("__parts")).limit(most_hot)
+    salt = F.pmod(F.xxhash64(*left.columns), F.coalesce("__parts", F.when(~known, F.lit(1 << 20)), F.lit(1)).cast("bigint")).cast("int")
+    salted = left.join(F.broadcast(hot), list(keys), "left").withColumn("__salt", salt)
     spread = right.join(F.broadcast(hot), list(keys), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__parts"), F.lit(1)) - 1)))
     out = salted.drop("__parts").join(spread.drop("__parts", rows), [*keys, "__salt"], how)
     return out.drop("__salt")
 
 
+def lookup_join(left: DataFrame, right: DataFrame, key: str, hot_rows: int = HOT_ROWS, how: str = "left") -> DataFrame:
+    """Join left to right, which has one row a key at most, however many left rows a key holds.
+
+    Only the distinct keys of left (counted before the shuffle) meet right; what they find goes back by salted_join.
+    """
+    counted = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__rows"))
+    return salted_join(left, counted.join(right, key), [key], "__rows", hot_rows, how)
+
+
 @dataclass(frozen=True)
 class Measure:
     """One aggregate over the joined rows. kind: 'sum' or 'first' (the value of `column` in the first row by `order`)."""
@@ -84,7 +98,10 @@ def eager_join_aggregate(
     groups = list(dict.fromkeys([on, *rollups]))
     a = _state(left, groups, lm, "__l")
     b = _state(right.filter(F.col(on).isNotNull()), [on], rm, "__r")
-    joined = a.join(b, on, how)
+    joined = a.filter(F.col(on).isNotNull()).join(b, on, how)
+    if how == "left":
+        # states without a join key have no partner and stay out of the join, which would bring them to one task
+        joined = joined.unionByName(a.filter(F.col(on).isNull()), allowMissingColumns=True)
     r = F.coalesce(F.col("__r"), F.lit(1).cast("bigint"))
     wide = joined.select(
         *[F.col(g) for g in groups],

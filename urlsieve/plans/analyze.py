@@ -21,13 +21,13 @@ _NONE = "array<struct<seq: int, rule_id: string, category: string, points: int,
 
 
 def facts(df: DataFrame, url: str, config: Config) -> DataFrame:
-    """df with parse columns, texts, keywords and g_* rule groups, and `terminal` (T1 .. T4 or null)."""
+    """df with parse columns, texts, keywords and g_* rule groups, and `terminal` (T1 .. T5 or null)."""
     s = parse(df, url)
     s = brand_candidates(keywords(texts(s, config), config), config)
     s = brand_indicators(static_groups(s, config))
     return s.withColumn(
         "terminal",
-        F.when(F.col("special").isin(R.DANGEROUS_SCHEMES), "T1").when(F.col("special").isNotNull(), "T2").when(F.col("broken"), "T3").when(~F.col("valid"), "T4"),
+        F.when(F.col("special").isin(R.DANGEROUS_SCHEMES), "T1").when(F.col("special").isNotNull(), "T2").when(F.col("crashed"), "T5").when(F.col("broken"), "T3").when(~F.col("valid"), "T4"),
     )
 
 
@@ -49,6 +49,7 @@ def finish(s: DataFrame, keep: list[str], config: Config) -> DataFrame:
         F.when(F.col("terminal") == "T1", _terminal("T1", "deception", 100, "scheme that runs code"))
         .when(F.col("terminal") == "T2", _terminal("T2", "info", 0, "not a web address"))
         .when(F.col("terminal") == "T3", _terminal("T3", "deception", 100, "address can't be split"))
+        .when(F.col("terminal") == "T5", _terminal("T5", "deception", 100, "address could not be analysed"))
         .otherwise(_terminal("T4", "deception", 100, "address without a host"))
     )
     s = s.withColumns({"score": F.when(end, F.when(F.col("terminal") == "T2", 0).otherwise(100)).otherwise(compute_score(F.col("found"), trusted, config)), "__trusted": trusted})

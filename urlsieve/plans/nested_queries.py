@@ -2,67 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.nested import elements, triples
+from ..operators.nested import elements, flatten
 from ..runtime import table
 
-#: Where the results of a payload can be: the payload itself, a list, an envelope, an envelope in an envelope.
-#: Any chain of names ends in 'results'; a lone result stands at position 0.
-RESULT = r"^(?:\[\]|(?:[^.\[\]]+\.)*results(?:\[\])?|)"
-LISTS = {"indicators": "category", "redirect_chain": "url", "resolved_ips": ""}
-
-
-def list_nodes(nodes: DataFrame) -> DataFrame:
-    """Nodes that are elements of the three lists: (record_id, result_pos, child, parent_pos, pos, name, kind, value).
-
-    The path below the result is list[.name], with or without '[]' after the list (a lone element has position 0);
-    addresses of a hop have the hop's list before theirs. `name` is the leaf inside the element ('' for itself).
-    Deeper nodes (an indicator's evidence) are no elements.
-    """
-    below = F.regexp_extract("path", RESULT + r"\.?(.*)$", 1)
-    root = F.regexp_extract("path", "(" + RESULT + ")", 1)
-    hop = r"^redirect_chain(\[\])?\.resolved_ips(\[\])?()$"
-    own = r"^(indicators|redirect_chain|resolved_ips)(\[\])?(?:\.([^.\[\]]+))?$"
-    at_hop = below.rlike(hop)
-    hop_listed, ip_listed = F.regexp_extract("below", hop, 1) != "", F.regexp_extract("below", hop, 2) != ""
-    listed = F.regexp_extract("below", own, 2) != ""
-    in_result = F.when(F.col("root").endswith("[]"), 1).otherwise(0)  # ordinals used up by the result itself
-
-    def ordinal(i: Column, there: Column) -> Column:
-        return F.when(there, F.try_element_at("ords", (i + 1).cast("int"))).otherwise(0)
-
-    rows = nodes.select("record_id", root.alias("root"), below.alias("below"), at_hop.alias("at_hop"), "ords", "kind", "value")
-    rows = rows.filter(F.col("at_hop") | F.col("below").rlike(own)).withColumn("__d", in_result)
-    return rows.select(
-        "record_id",
-        ordinal(F.lit(0), F.col("__d") == 1).alias("result_pos"),
-        F.when(F.col("at_hop"), "resolved_ips").otherwise(F.regexp_extract("below", own, 1)).alias("child"),
-        F.when(F.col("at_hop"), ordinal(F.col("__d"), hop_listed)).otherwise(-1).alias("parent_pos"),
-        F.when(F.col("at_hop"), ordinal(F.col("__d") + F.when(hop_listed, 1).otherwise(0), ip_listed)).otherwise(ordinal(F.col("__d"), listed)).alias("pos"),
-        F.when(F.col("at_hop"), "").otherwise(F.regexp_extract("below", own, 3)).alias("name"),
-        "kind",
-        "value",
-    )
+#: Names that hold lists, whatever stands there.
+REPEATED = ("results", "indicators", "redirect_chain", "resolved_ips")
+#: Where the results of a payload can be: a list, an envelope, an envelope in an envelope, or the payload itself.
+#: Any chain of names ends in 'results'.
+RESULT = r"(?:\[\]\.|(?:[^.\[\]]+\.)*results\[\]\.|)"
+#: The tables: the elements of the three lists of a result and of the addresses of its hops.
+LISTS = RESULT + r"(?:indicators\[\]|(?:redirect_chain\[\]\.)?resolved_ips\[\]|redirect_chain\[\])"
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """(record_id, result_pos, child, parent_pos, pos, item), one row per non-null element."""
-    raw = table(spark, folder, "result_raw")
-    nodes = list_nodes(triples(raw, "record_id", "payload"))
-    leaf = nodes.filter(F.col("value").isNotNull() & ~F.col("kind").isin("{", "["))
-    wanted = F.create_map(*[F.lit(x) for kv in LISTS.items() for x in kv])
-    found = leaf.filter((F.col("name") == "") | (F.col("name") == wanted[F.col("child")]))
-    # a name repeated inside one element leaves one row
-    return found.groupBy("record_id", "result_pos", "child", "parent_pos", "pos").agg(F.max("value").alias("item"))
+    t = flatten(table(spark, folder, "result_raw"), "record_id", "payload", {LISTS: ["category", "url"]}, REPEATED)[LISTS]
+    child = F.regexp_extract("ancestor", r"([a-z_]+)\[\]$", 1)
+    at_hop = F.col("ancestor").endswith("redirect_chain[].resolved_ips[]")
+    # of the ordinals the last ones belong to the hop and the element, one before them to the result if it is listed
+    above = F.size("ords") - F.when(at_hop, 2).otherwise(1)
+    s = t.select(
+        "record_id",
+        F.when(above > 0, F.get("ords", above - 1)).otherwise(0).alias("result_pos"),
+        child.alias("child"),
+        F.when(at_hop, F.element_at("parent_ords", -1)).otherwise(-1).alias("parent_pos"),
+        "pos",
+        F.coalesce("value", F.when(child == "indicators", F.col("category")).when(child == "redirect_chain", F.col("url"))).alias("item"),
+    )
+    return s.filter("item is not null")
 
 
 def p3_elements(spark: SparkSession, folder: str) -> DataFrame:
     """Every element of every repeated ancestor with its key, its parent and its own leaves as JSON."""
-    raw = table(spark, folder, "result_raw")
-    rows = elements(triples(raw, "record_id", "payload"), "record_id")
-    return rows.select("record_id", "ancestor", "parent", F.concat_ws(".", F.col("ords").cast("array<string>")).alias("ords"), "kind", "value", F.to_json("fields").alias("fields"))
+    rows = elements(table(spark, folder, "result_raw"), "record_id", "payload", REPEATED)
+    parent = F.regexp_replace("ancestor", r"[^\[\]]*\[\]$", "")
+    return rows.select("record_id", "ancestor", parent.alias("parent"), F.concat_ws(".", F.col("ords").cast("array<string>")).alias("ords"), "kind", "value", F.to_json("fields").alias("fields"))
 
 
 QUERIES = {"p3_found": p3_found, "p3_elements": p3_elements}

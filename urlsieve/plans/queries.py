@@ -15,6 +15,7 @@ from ..operators.evaluate import SWEEP, metrics
 from ..operators.evaluate import best as best_row
 from ..operators.rules import catalogue, group_column
 from ..operators.score import classify, compute_score
+from ..operators.skew import lookup_join
 from ..runtime import table
 from ..sources.files import first_occurrences, split_blocklist
 from ..sources.observations import latest
@@ -106,11 +107,16 @@ def evaluate_best(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def blocklist_hits(spark: SparkSession, folder: str) -> DataFrame:
-    """What of the block list each result matches: its URL, else the longest listed suffix of its host."""
+    """What of the block list, seed and feed, each result matches: its URL, else the longest listed suffix of its host."""
     urls, domains = split_blocklist(table(spark, folder, "blocklist_feed").select(F.col("entry").alias("line")))
+    seed = table(spark, folder, "blocklist_seed")
+    urls = urls.unionAll(seed.filter("kind = 'url'").select("entry_key")).distinct()
+    domains = domains.unionAll(seed.filter("kind = 'domain'").select("entry_key")).distinct()
     r = table(spark, folder, "results").select("result_id", F.coalesce("hostname", F.lit("")).alias("host"), canonical_key(F.col("normalized_url")).alias("key"))
-    s = r.join(urls.withColumn("u", F.lit("url")), "key", "left").join(match_hosts(r.select("host"), domains), "host", "left")
-    return s.select("result_id", F.coalesce("u", "domain").alias("hit")).filter("hit is not null")
+    by_url = lookup_join(r.select("result_id", "key"), urls.withColumn("hit", F.lit("url")), "key", how="inner").select("result_id", "hit")
+    by_host = lookup_join(r.select("result_id", "host"), match_hosts(r.select("host"), domains), "host", how="inner").select("result_id", F.col("domain").alias("hit"))
+    rest = by_host.join(by_url.select("result_id"), "result_id", "left_anti")  # one row an id on both sides
+    return by_url.unionAll(rest)
 
 
 def urls_once(spark: SparkSession, folder: str) -> DataFrame:
@@ -256,8 +262,10 @@ SQL = {
     "evaluate_best": f"WITH {_METRICS.format(more='')} SELECT threshold, tp, fp FROM f ORDER BY f1 DESC, threshold DESC LIMIT 1",
     "blocklist_hits": rf"""
         WITH l AS (SELECT {_strip("entry")} AS e FROM blocklist_feed), b AS (SELECT {_refang("e")} AS e FROM l WHERE e <> '' AND NOT starts_with(e, '#')),
-        u AS (SELECT DISTINCT rtrim(lower(regexp_replace(e, '^[a-z][a-z0-9+.-]*://', '', 'i')), '/') AS key FROM b WHERE regexp_matches(e, '[/?]')),
-        d AS (SELECT DISTINCT rtrim(lower(e), '.') AS domain FROM b WHERE NOT regexp_matches(e, '[/?]')),
+        u AS (SELECT rtrim(lower(regexp_replace(e, '^[a-z][a-z0-9+.-]*://', '', 'i')), '/') AS key FROM b WHERE regexp_matches(e, '[/?]')
+              UNION SELECT entry_key FROM blocklist_seed WHERE kind = 'url'),
+        d AS (SELECT rtrim(lower(e), '.') AS domain FROM b WHERE NOT regexp_matches(e, '[/?]')
+              UNION SELECT entry_key FROM blocklist_seed WHERE kind = 'domain'),
         r AS (SELECT result_id, hostname, rtrim(lower(regexp_replace({_refang("normalized_url")}, '^[a-z][a-z0-9+.-]*://', '', 'i')), '/') AS key FROM results),
         h AS (SELECT DISTINCT hostname, string_split(hostname, '.') AS l FROM results WHERE hostname <> ''),
         x AS (SELECT hostname, i, array_to_string(l[i:len(l)], '.') AS domain FROM h, unnest(range(1, len(l) + 1)) AS g(i)),

@@ -22,26 +22,19 @@ def first_occurrences(lines: DataFrame) -> DataFrame:
 
 
 def read_urls(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-1, SRC-2: (ord, url) of a URL list file, '-' for standard input.
+    """SRC-1, SRC-2: (ord, url) of a URL list file, '-' for standard input. ord grows with the place in the file.
 
-    The file is read as a whole, as line ends of one kind may lie inside lines of another; lists too large for that
-    go through read_urls_by_line.
+    The file is read in splits of lines, and each line is cut at the line ends that Spark's reader doesn't know.
     """
     if path == "-":
         return from_lines(spark, sys.stdin.read().splitlines())
-    whole = spark.read.text(path, wholetext=True)
-    return first_occurrences(whole.select(F.posexplode(F.split("value", LINE_ENDS)).alias("ord", "url")))
+    lines = spark.read.text(path).select(F.explode(F.split("value", LINE_ENDS)).alias("url"))
+    return first_occurrences(lines.select(F.monotonically_increasing_id().alias("ord"), "url"))
 
 
 read_urls_from_file = read_urls
 
 
-def read_urls_by_line(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, url) of splittable text files: lines end at LF, CR or CRLF only; ord grows with the place in a file."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("ord"), F.explode(F.split("value", LINE_ENDS)).alias("url"))
-    return first_occurrences(lines)
-
-
 def from_lines(spark: SparkSession, lines: Iterable[str]) -> DataFrame:
     return first_occurrences(spark.createDataFrame(list(enumerate(lines)), "ord int, url string"))
 
