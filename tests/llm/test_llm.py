@@ -1,4 +1,5 @@
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -112,6 +113,20 @@ def test_forms(spark):
     assert got == cases
 
 
+def test_visibly_different():
+    for ch in "²½①™№ªſ¨⑴㎏ẛ":
+        assert lookalike.shown(ch) != unicodedata.normalize("NFKD", ch), ch
+    assert [lookalike.shown(c) for c in "ａ𝖺ﬁⅴ…\u00a0\u2009µ"] == ["a", "a", "fi", "v", "...", " ", " ", "μ"]
+
+
+def test_recompose_agrees_with_unicode():
+    r = random.Random(0)
+    chars = "aeiouzαιωяй\u0301\u0308\u0323\u0327\u0345\u0300\u0302각가x"
+    for _ in range(3000):
+        apart = unicodedata.normalize("NFD", "".join(r.choice(chars) for _ in range(r.randrange(9))))
+        assert lookalike.recompose(apart) == unicodedata.normalize("NFC", apart)
+
+
 def test_pairs(spark):
     rows = [("f", 1, "paypal"), ("f", 2, "pаypal"), ("f", 3, "paypal"), ("f", 4, "ｐaypal"), ("f", 5, None), ("f", 6, ""), ("g", 7, "pаypal"), ("f", 8, "PayPal"), ("f", 9, "pаypаl"), ("f", 10, "é"), ("f", 11, "e")]
     df = frame(spark, rows, "field string, id bigint, value string")
@@ -119,8 +134,13 @@ def test_pairs(spark):
     like = {1: "p", 3: "p", 2: "q", 4: "r", 9: "s"}
     assert got == sorted(("f", a, b) for a in like for b in like if a < b and like[a] != like[b])
     assert lookalike.same_looking_pairs(df.limit(0)).count() == 0
+    classes = {r.id: r.class_id for r in lookalike.same_looking_classes(df, hot_rows=1).collect()}
+    assert classes == {i: 1 for i in like}
     form = lookalike.consistent(df.withColumnRenamed("field", "__x"), "value", "form").collect()
     assert {r.id: r.form for r in form}[9] == "paypal" and len(form) == len(rows)
+    # a third of the rows is one look-alike value
+    hot = df.unionAll(spark.range(300).select(F.lit("f"), F.col("id") + 100, F.lit("pаypаl")))
+    assert lookalike.consistent(hot, "value", "form", hot_rows=10).filter("form = 'paypal'").count() == 306
 
 
 # ---------------------------------------------------------------- 4
@@ -132,7 +152,8 @@ def test_frequent(spark):
     df = frame(spark, [(v, "q") for v in values], "v string, field string").repartition(7)
     got = {x.item: x.rows for x in heavy.frequent(df.select("v"), ["v"], 0.01, k=200).collect()}
     assert got == {v: values.count(v) for v in set(values) if v is not None and values.count(v) >= 60}
-    parts = heavy.merged(heavy.summaries(df.select("v"), ["v"], 50), 7, 50).collect()
+    parts = heavy.merged(heavy.summaries(df.select("v"), ["v"], 50), 50).collect()
+    assert len({p.part for p in parts}) == 1 and len({p.item for p in parts}) == len(parts)
     assert len(parts) <= 50 and all(0 <= values.count(p.item) - p.counter <= 6000 / 51 for p in parts)
     assert heavy.frequent(df.select("v").limit(0), ["v"], 0.01).count() == 0
     with pytest.raises(ValueError):
@@ -167,8 +188,20 @@ def test_filters_agree_with_grouping(spark, monkeypatch):
     r = random.Random(2)
     texts = frame(spark, [(i, f"t{r.randrange(3000)}") for i in range(4000)], "id bigint, text string").repartition(5)
     one = sorted(map(tuple, collapse.collapse(texts).collect()))
-    monkeypatch.setattr(collapse, "MAX_FILTER_BYTES", 0)  # the way without filters
+    first, n = {}, {}
+    for x in texts.collect():
+        first[x.text] = min(x.id, first.get(x.text, x.id))
+        n[x.text] = n.get(x.text, 0) + 1
+    assert one == sorted((first[t], n[t]) for t in n)
+    # many shards, a pass each; few rows pass that are no repeats
+    monkeypatch.setattr(collapse, "SHARD_KEYS", 500)
+    monkeypatch.setattr(collapse, "MAX_FILTER_BYTES", 1)
     assert one == sorted(map(tuple, collapse.collapse(texts).collect()))
+    keys = collapse.keyed(texts)
+    assert len(list(collapse.repeat_filters(keys, 8))) == 8
+    passed = collapse.flagged(keys, 4000).filter("maybe").count()
+    repeats = sum(k for k in n.values() if k > 1)
+    assert repeats <= passed < repeats + 40
 
 
 # ---------------------------------------------------------------- 7
@@ -323,6 +356,9 @@ def test_languages(spark):
     rows = [(1, en * 2, "en-GB"), (2, de * 2, "English"), (3, en + "\n\n" + de, "en"), (4, None, "en"), (5, "", None), (6, "#REDIRECT [[x]]", None), (7, de, None), (8, "* " + en, None), (9, "sdf;kjh;" * 50, None), (10, "== x ==\n\n" + en + "(''" + de + "'')", "und")]
     got = {(r.doc_id, r.seg): r.lang for r in langid.identify(frame(spark, rows, "doc_id bigint, text string, label string"), net).collect()}
     assert got == {(1, -1): "en", (2, -1): "de", (3, 0): "en", (3, 1): "de", (7, -1): "de", (10, -1): "en"}
+    labels = ["EN", " en\t", "de-AT", "Español", "und", None, "xyz", "\u00a0fr", "unknown"]
+    codes = [r.c for r in frame(spark, [(i, x) for i, x in enumerate(labels)], "i int, l string").orderBy("i").select(langid.label_codes(F.col("l")).alias("c")).collect()]
+    assert codes == ["en", "en", "de", "es", None, None, None, "fr", None] == [c if (c := langid.label_code(x)) in langid.LANGS else None for x in labels]
     assert [langid.label_code(x) for x in ("EN", "de-AT", "Español", "und", None, "xyz")] == ["en", "de", "es", None, None, "xyz"]
 
 

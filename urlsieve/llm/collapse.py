@@ -2,7 +2,7 @@
 
 A URL's canonical text is built by Catalyst expressions and hashed to 128 bits. Each partition builds two Bloom
 filters over its hashes, of those seen and of those seen again; merging ORs them and adds to the second what both
-sides may have seen. Only rows that the second filter lets through are shuffled and grouped exactly; all other rows
+sides may have seen, then folds it as small as its few bits allow. Only rows that the second filter lets through are shuffled and grouped exactly; all other rows
 are singletons, with no false decision, as a Bloom filter has no false negatives.
 """
 
@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,8 +27,10 @@ HASHES = 4
 #: Keys a filter shard is laid out for; a shard is 2 MB.
 SHARD_KEYS = 1 << 20
 SHARD_BITS = SHARD_KEYS * BITS_PER_KEY
-#: Largest filter (all shards) that is sent to executors; beyond it all rows are grouped exactly.
+#: Largest filter that is sent to executors at a time; more shards go in further passes over their rows.
 MAX_FILTER_BYTES = 64 << 20
+#: The filter of repeats is folded in half while at most this share of its bits is set: 0.2 ** HASHES pass wrongly.
+FULL = 0.2
 
 _OPEN = r"""^(?:['"`<({,;.!]|\[(?![0-9a-f:.]+\]))+"""
 _CLOSE = r"""(?:['"`>)},;.!?#&/]|(?<!\[[0-9a-f:.]{2,60})\])+$"""
@@ -65,7 +68,7 @@ def positions(h: np.ndarray) -> np.ndarray:
 
 
 def shard_of(h2: np.ndarray, shards: int) -> np.ndarray:
-    return (h2.astype(np.int64).view(np.uint64) % np.uint64(shards)).astype(np.int64)
+    return np.mod(h2.astype(np.int64), shards)  # pmod() of Catalyst
 
 
 def _as_bytes(bits: np.ndarray) -> bytes:
@@ -120,43 +123,63 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "once": [as_set(once)], "again": [as_set(again)]})
 
 
-def repeat_filter(keys: DataFrame, total: int) -> dict[int, bytes] | None:
-    """shard -> filter of hashes seen more than once, from keys(h, h2); None if it would exceed MAX_FILTER_BYTES."""
-    shards = max(1, -(-total // SHARD_KEYS))
-    if shards * SHARD_BITS // 8 > MAX_FILTER_BYTES:
-        return None
+def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The filter of repeats of a shard, as short as FULL allows."""
+    bits = _to_bitmap(_merge(pdf)["again"].iloc[0])
+    ones = int(np.bitwise_count(bits).sum())
+    while len(bits) > 64 and 2 * ones <= FULL * 8 * len(bits):
+        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
+        ones = int(np.bitwise_count(bits).sum())
+    return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "again": [bits.tobytes()]})
+
+
+def repeat_filters(keys: DataFrame, shards: int) -> Iterator[tuple[int, int, dict[int, bytes]]]:
+    """Filters of the hashes of keys(h, h2) seen more than once, as (first shard, behind the last one, shard -> bitmap),
+    each with at most MAX_FILTER_BYTES (or one shard). Every shard lies in one of them."""
     parts = keys.select("h", "h2").mapInArrow(_build(shards), FILTERS)
     width = 32  # partitions merged in one task; the second step has partitions / 32 a shard
     step = parts.withColumn("to", F.pmod(F.spark_partition_id(), F.lit(width))).groupBy("shard", "to").applyInPandas(lambda p: _merge(p), FILTERS)
-    done = step.groupBy("shard").applyInPandas(lambda p: _merge(p), FILTERS)
-    return {0: shards.to_bytes(4, "big")} | {r.shard + 1: bytes(r.again) for r in done.select("shard", "again").toLocalIterator()}
-
-
-def flagged(keys: DataFrame, total: int) -> DataFrame:
-    """keys(.., h, h2) with `maybe`: whether the hash may occur more than once, by the merged filters."""
-    made = repeat_filter(keys, total)
-    if made is None:
-        return keys.withColumn("maybe", F.lit(True))
-    sent = keys.sparkSession.sparkContext.broadcast(made)
-    state: dict = {}
-
+    done = cut(step.groupBy("shard").applyInPandas(lambda p: _fold(p), "shard int, again binary"))
+    first, held, size = 0, {}, 0
+    for r in done.orderBy("shard").toLocalIterator():
+        if held and size + len(r.again) > MAX_FILTER_BYTES:
+            yield first, r.shard, held
+            first, held, size = r.shard, {}, 0
+        held[r.shard] = bytes(r.again)
+        size += len(r.again)
+    yield first, shards, held
+
+
+def _prober(sent: Broadcast, shards: int):
     @F.pandas_udf("boolean")
     def may_repeat(h: pd.Series, h2: pd.Series) -> pd.Series:
-        filters = sent.value
-        shards = int.from_bytes(filters[0], "big")
         values, shard = h.to_numpy(np.int64), shard_of(h2.to_numpy(np.int64), shards)
         out = np.zeros(len(values), bool)
         for s in np.unique(shard):
-            if s + 1 not in filters:
-                continue
-            if s not in state:
-                state[s] = _to_bitmap(filters[s + 1])
-            at = np.flatnonzero(shard == s)
-            p = positions(values[at])
-            out[at] = ((state[s][p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1).all(axis=1)
+            if s in sent.value:
+                bits = np.frombuffer(sent.value[s], np.uint8)
+                at = np.flatnonzero(shard == s)
+                p = positions(values[at]) & (8 * len(bits) - 1)
+                out[at] = ((bits[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1).all(axis=1)
         return pd.Series(out)
 
-    return keys.withColumn("maybe", may_repeat("h", "h2"))
+    return may_repeat
+
+
+def flagged(keys: DataFrame, total: int) -> DataFrame:
+    """keys(.., h, h2) with `maybe`: whether the hash may occur more than once, by the merged filters.
+
+    A row is probed once, in the pass that holds the filter of its shard.
+    """
+    shards = max(1, -(-total // SHARD_KEYS))
+    out = None
+    for first, end, filters in repeat_filters(keys, shards):
+        may_repeat = _prober(keys.sparkSession.sparkContext.broadcast(filters), shards)
+        mine = F.pmod("h2", F.lit(shards))
+        rows = keys if (first, end) == (0, shards) else keys.filter((mine >= first) & (mine < end))
+        marked = rows.withColumn("maybe", may_repeat("h", "h2"))
+        out = marked if out is None else out.unionAll(marked)
+    return out
 
 
 # ---------------------------------------------------------------- operator
@@ -189,7 +212,7 @@ def collapse(texts: DataFrame) -> DataFrame:
     """
     keys = keyed(texts)
     known = keys.filter("h is not null")
-    marked = flagged(known, known.count())
+    marked = cut(flagged(known, known.count()).select("id", "h", "h2", "maybe"))
     one = F.lit(1).cast("bigint").alias("copies")
     alone = keys.filter("h is null").select("id").unionAll(marked.filter("not maybe").select("id"))
     return alone.select(F.col("id").alias("keep_id"), one).unionAll(_counted(marked.filter("maybe")).select("keep_id", "copies"))

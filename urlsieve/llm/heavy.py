@@ -1,7 +1,7 @@
 """Most frequent items in bounded memory (problem 4): Misra-Gries summaries, merged, then counted.
 
 A summary of COUNTERS counters over n rows undercounts by at most n / (COUNTERS + 1), so it holds every item above
-that many rows. Partitions are summarised in one pass, summaries merge in a tree of FAN_IN by adding counters and
+that many rows. Partitions are summarised in one pass, summaries merge in three rounds by adding counters and
 subtracting the next-largest one; a second pass counts the at most COUNTERS candidates exactly.
 """
 
@@ -67,8 +67,12 @@ def summaries(df: DataFrame, fields: list[str], k: int = COUNTERS) -> DataFrame:
     return df.select(*fields).mapInArrow(_summarise(fields, k), SUMMARY)
 
 
-def merged(parts: DataFrame, partitions: int, k: int = COUNTERS) -> DataFrame:
-    """One summary per field out of `partitions` summaries, merged FAN_IN at a time; same columns."""
+def merged(parts: DataFrame, k: int = COUNTERS) -> DataFrame:
+    """One summary per field out of all summaries, whatever their number; same columns.
+
+    Three rounds merge by the partition's number, modulo FAN_IN squared, modulo FAN_IN, and by field alone, so that a
+    task merges FAN_IN summaries or, of more than FAN_IN cubed partitions, in proportion.
+    """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         out = (pa.array([], pa.string()), np.empty(0, np.int64))
@@ -79,11 +83,9 @@ def merged(parts: DataFrame, partitions: int, k: int = COUNTERS) -> DataFrame:
         part, field = int(pdf["to"].iloc[0]), pdf["field"].iloc[0]
         return pd.DataFrame({"part": part, "field": field, "item": out[0].to_pandas(), "counter": out[1], "n": n})
 
-    while True:
-        partitions = -(-partitions // FAN_IN)
-        parts = parts.withColumn("to", F.floor(F.col("part") / FAN_IN)).groupBy("field", "to").applyInPandas(lambda pdf: fold(pdf), SUMMARY)
-        if partitions <= 1:
-            return parts
+    for groups in (FAN_IN**2, FAN_IN, 1):
+        parts = parts.withColumn("to", F.pmod("part", F.lit(groups))).groupBy("field", "to").applyInPandas(lambda pdf: fold(pdf), SUMMARY)
+    return parts
 
 
 def frequent(df: DataFrame, fields: list[str], share: float, k: int = COUNTERS) -> DataFrame:
@@ -93,7 +95,7 @@ def frequent(df: DataFrame, fields: list[str], share: float, k: int = COUNTERS)
     """
     if share * (k + 1) <= 1:
         raise ValueError("share must exceed 1 / (k + 1)")
-    found = merged(summaries(df, fields, k), df.rdd.getNumPartitions(), k)
+    found = merged(summaries(df, fields, k), k)
     # an undercount is at most a k + 1-th of the rows, nulls included
     total = df.agg(F.count(F.lit(1)).alias("total"))
     candidates = found.join(F.broadcast(total)).filter(F.col("counter") + F.col("total") / (k + 1) >= share * F.col("total"))
@@ -120,7 +122,7 @@ def p4_counts(spark: SparkSession, folder: str) -> DataFrame:
 def p4_summary(spark: SparkSession, folder: str) -> DataFrame:
     """(field, item, estimate, at_most): the merged summary itself, with the bound on each true count."""
     df = table(spark, folder, "results").select(*FIELDS)
-    found = merged(summaries(df, FIELDS), df.rdd.getNumPartitions())
+    found = merged(summaries(df, FIELDS))
     total = df.agg(F.count(F.lit(1)).alias("total"))
     return found.join(F.broadcast(total)).select("field", "item", F.col("counter").alias("estimate"), (F.col("counter") + F.floor(F.col("total") / (COUNTERS + 1))).alias("at_most"))
 

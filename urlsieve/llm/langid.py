@@ -12,9 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from ..runtime import table
 from .gru import PAD, ByteGRU
 from .wikitext import inline
@@ -211,17 +212,27 @@ def identify(documents: DataFrame, model: ByteGRU) -> DataFrame:
     return documents.select("doc_id", "text", "label").mapInPandas(run, OUT)
 
 
-def sample(documents: DataFrame, total: int) -> list[tuple[str | None, str | None]]:
-    """About SAMPLE_DOCS (label, text) pairs chosen by the hash of the id: the same at every layout of the table."""
-    share = min(1.0, SAMPLE_DOCS / max(total, 1))
-    limit = int(share * (1 << 30))
-    chosen = documents.filter((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= limit) & F.col("text").isNotNull() & (F.length("text") > 0))
+def label_codes(label: Column) -> Column:
+    """label_code() of labels in known writings; null for others and for those that tell nothing."""
+    known = F.create_map(*[F.lit(x) for kv in CODE.items() for x in kv])
+    s = F.lower(strip(label))
+    return F.coalesce(F.try_element_at(known, s), F.try_element_at(known, F.element_at(F.split(s, r"[-_ (,;/.]"), 1)))
+
+
+def sample(documents: DataFrame) -> list[tuple[str | None, str | None]]:
+    """About SAMPLE_DOCS (label, text) pairs with a label in use, as many of each language as there are, chosen by the
+    hash of the id: the same at every layout of the table."""
+    usable = documents.withColumn("code", label_codes(F.col("label"))).filter(F.col("code").isNotNull() & (F.length("text") > 0))
+    rows = {r.code: r["count"] for r in usable.groupBy("code").count().toLocalIterator()}  # a row a language
+    each = SAMPLE_DOCS / len(LANGS)
+    limit = F.coalesce(*[F.when(F.col("code") == c, int(min(1.0, each / n) * (1 << 30))) for c, n in rows.items()], F.lit(0))
+    chosen = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < limit)
     # the hash share is about SAMPLE_DOCS; the bound holds for any distribution of ids
     return [(r.label, r.text) for r in chosen.select("label", "text").limit(2 * SAMPLE_DOCS).toLocalIterator()]
 
 
 def fitted(documents: DataFrame) -> ByteGRU:
-    return train(sample(documents, documents.count()))
+    return train(sample(documents))
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -238,9 +249,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, seg, lang): documents whose label is missing or wrong, and segments of mixed documents."""
     docs = _documents(spark, folder)
     rows = identify(docs, fitted(docs))
-    known = F.create_map(*[F.lit(x) for kv in CODE.items() for x in kv])
-    s = F.lower(F.trim("label"))
-    code = F.coalesce(known[s], known[F.element_at(F.split(s, r"[-_ (,;/.]"), 1)])
+    code = label_codes(F.col("label"))
     return rows.filter((F.col("seg") >= 0) | code.isNull() | (code != F.col("lang"))).select("doc_id", "seg", "lang")
 
 

@@ -8,6 +8,7 @@ recomposed. ASCII values are their own form: none of their characters looks like
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -72,6 +73,9 @@ LOOKALIKES = {
 }
 _LOOKS = {ch: plain for plain, chars in LOOKALIKES.items() for ch in chars}
 
+#: Spellings of one form from which its pairs are split over tasks.
+MANY_SPELLINGS = 2_000
+
 #: Format characters that are drawn (signs around Arabic, Syriac and Kaithi numbers).
 _DRAWN = {*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD}
 
@@ -83,6 +87,26 @@ def _invisible(cp: int, ch: str) -> bool:
     return cp in (0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0) or 0x180B <= cp <= 0x180F or 0xFE00 <= cp <= 0xFE0F or 0xE0100 <= cp <= 0xE01EF
 
 
+#: Tags of compatibility decompositions that keep a character's look, but for its width or style.
+_SAME_LOOK = {"<wide>", "<narrow>", "<font>", "<noBreak>", "<small>", "<initial>", "<medial>", "<final>", "<isolated>", "<compat>"}
+#: Characters with such a decomposition that look otherwise: the long s, letterlike signs, enclosed ones.
+_OWN_LOOK = (0x17F, *range(0x2100, 0x2150), *range(0x2460, 0x2500), *range(0x3200, 0x3400), *range(0x1F100, 0x1F200))
+
+
+def apart(ch: str) -> str:
+    """A character decomposed as far as its parts look like the whole: accents and styles, but not raised digits, signs
+    in circles or fractions."""
+    to = unicodedata.decomposition(ch).split()
+    if not to:
+        return ch
+    if to[0][0] == "<":
+        tag, *to = to
+        # an accent standing alone is no blank with an accent
+        if tag not in _SAME_LOOK or ord(ch) in _OWN_LOOK or (to[0] == "0020" and len(to) > 1):
+            return ch
+    return "".join(apart(chr(int(c, 16))) for c in to)
+
+
 def shown(ch: str) -> str:
     """What one character is drawn as, decomposed: '' if it isn't drawn. ASCII is drawn as itself."""
     if ch < "\x80":
@@ -91,7 +115,7 @@ def shown(ch: str) -> str:
         return _LOOKS[ch]
     if _invisible(ord(ch), ch):
         return ""
-    parts = unicodedata.normalize("NFKD", ch)
+    parts = apart(ch)
     return parts if parts == ch else "".join(_LOOKS.get(p, "" if _invisible(ord(p), p) else p) for p in parts)
 
 
@@ -108,8 +132,50 @@ def mapping(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "ch string, parts array<struct<ch: string, ccc: int>>")
 
 
-def _recompose(text: pd.Series) -> pd.Series:
-    return text.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore")
+@cache
+def _pairs() -> dict[str, str]:
+    """Two characters and the one they compose to, as Unicode has them (without its exclusions)."""
+    made = {}
+    for cp in (*range(0xC0, 0x3100), *range(0x11000, 0x12000), *range(0x16100, 0x16200)):
+        to = unicodedata.decomposition(chr(cp)).split()
+        if len(to) == 2 and to[0][0] != "<" and unicodedata.is_normalized("NFC", chr(cp)):
+            made["".join(chr(int(c, 16)) for c in to)] = chr(cp)
+    return made
+
+
+#: Where Hangul syllables and their parts begin, and how many parts of each place there are.
+_S, _L, _V, _T, _NL, _NV, _NT = 0xAC00, 0x1100, 0x1161, 0x11A7, 19, 21, 28
+
+
+def _composed(a: str, b: str) -> str | None:
+    x, y = ord(a) - _L, ord(b) - _V
+    if 0 <= x < _NL and 0 <= y < _NV:
+        return chr(_S + (x * _NV + y) * _NT)
+    x, y = ord(a) - _S, ord(b) - _T
+    if 0 <= x < _NL * _NV * _NT and x % _NT == 0 and 0 < y < _NT:
+        return chr(ord(a) + y)
+    return _pairs().get(a + b)
+
+
+def recompose(text: str) -> str:
+    """Marks, already in order of class behind their starter, joined to it as far as Unicode has a character for both."""
+    out: list[str] = []
+    starter, last = -1, -1  # where the starter is, class of the last mark kept behind it
+    for ch in text:
+        kind = unicodedata.combining(ch)
+        if starter >= 0 and last < kind and (made := _composed(out[starter], ch)):
+            out[starter] = made
+            continue
+        if kind:
+            last = kind
+        else:
+            starter, last = len(out), -1
+        out.append(ch)
+    return "".join(out)
+
+
+def _recompose(texts: pd.Series) -> pd.Series:
+    return texts.map(recompose, na_action="ignore")
 
 
 def forms(values: DataFrame) -> DataFrame:
@@ -133,12 +199,20 @@ def forms(values: DataFrame) -> DataFrame:
     return plain.unionAll(rebuilt.select("value", F.pandas_udf(_recompose, "string")("d").alias("form")))
 
 
-def consistent(df: DataFrame, column: str, out: str) -> DataFrame:
-    """df with `out`: the consistent form of df[column]; null stays null. Each distinct non-ASCII value is worked once."""
-    is_ascii = F.col(column).rlike(r"^[\x00-\x7f]*$")
-    made = forms(df.filter(~is_ascii).select(F.col(column).alias("value")).distinct()).select(F.col("value").alias("__value"), F.col("form").alias("__form"))
-    joined = df.join(made, F.col(column) == F.col("__value"), "left").drop("__value")
-    return joined.withColumn(out, F.coalesce("__form", F.col(column))).drop("__form")
+def consistent(df: DataFrame, column: str, out: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """df with `out`: the consistent form of df[column]; null stays null. Each distinct non-ASCII value is worked once.
+
+    ASCII values are their own form and take no part in a join; the others meet their form by a hash of 128 bits, with
+    the rows of frequent ones split.
+    """
+    plain = F.coalesce(F.col(column).rlike(r"^[\x00-\x7f]*$"), F.lit(True))
+    a, b = fingerprint(column)
+    other = df.filter(~plain).withColumns({"__a": a, "__b": b})
+    counted = other.groupBy("__a", "__b").agg(F.count(F.lit(1)).alias("__n"), F.any_value(column).alias("value"))
+    fa, fb = fingerprint("value")
+    made = forms(counted.select("value")).select(fa.alias("__a"), fb.alias("__b"), F.col("form").alias(out))
+    joined = salted_join(other, counted.drop("value").join(made, ["__a", "__b"]), ["__a", "__b"], "__n", hot_rows).drop("__a", "__b")
+    return df.filter(plain).withColumn(out, F.col(column)).unionByName(joined.select(*df.columns, out))
 
 
 def same_looking_pairs(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -146,6 +220,23 @@ def same_looking_pairs(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 
     Null values make no pair. Rows are matched by distinct value, so equal rows are never compared with each other.
     """
+    keys, every = _spellings(rows)
+    left = every.select("field", "fa", "fb", F.struct("n", "a", "b").alias("x"))
+    right = every.select("field", "fa", "fb", F.struct("n", "a", "b").alias("y"))
+    many = every.groupBy("field", "fa", "fb").agg(F.count(F.lit(1)).alias("s")).filter("s > 1")
+    # a spelling meets all others of its form: forms with very many are split
+    pairs = salted_join(left, right.join(many, ["field", "fa", "fb"]), ["field", "fa", "fb"], "s", min(hot_rows, MANY_SPELLINGS))
+    pairs = pairs.filter("x < y").select("field", "x", "y")  # x has fewer rows
+    ids = keys.select("field", "a", "b", "id")
+    small = salted_join(ids, pairs.select("field", F.col("x.a").alias("a"), F.col("x.b").alias("b"), F.col("x.n").alias("n"), "y"), ["field", "a", "b"], "n", hot_rows)
+    half = small.select("field", F.col("y.a").alias("a"), F.col("y.b").alias("b"), F.col("y.n").alias("n"), F.col("id").alias("other"))
+    both = salted_join(ids, half, ["field", "a", "b"], "n", hot_rows)
+    return both.select("field", F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b"))
+
+
+def _spellings(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(field, id, a, b, value) of the rows, value only where it isn't ASCII, and (field, a, b, n, fa, fb), one row a
+    spelling that has company: n rows, its hash (a, b), the hash (fa, fb) of its form. Both are written once."""
     known = rows.filter("value is not null")
     plain = F.col("value").rlike(r"^[\x00-\x7f]*$")
     a, b = fingerprint("value")
@@ -157,15 +248,19 @@ def same_looking_pairs(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     # an ASCII value is its own form
     wanted = formed.select("field", F.col("fa").alias("a"), F.col("fb").alias("b")).distinct()
     ascii_values = keys.filter("value is null").groupBy("field", "a", "b").agg(F.count(F.lit(1)).alias("n")).join(wanted, ["field", "a", "b"], "left_semi")
-    every = cut(formed.unionAll(ascii_values.select("field", "a", "b", "n", F.col("a").alias("fa"), F.col("b").alias("fb"))))
-    left = every.select("field", "fa", "fb", F.struct("n", "a", "b").alias("x"))
-    right = every.select("field", "fa", "fb", F.struct("n", "a", "b").alias("y"))
-    pairs = left.join(right, ["field", "fa", "fb"]).filter("x < y").select("field", "x", "y")  # x has fewer rows
-    ids = keys.select("field", "a", "b", "id")
-    small = salted_join(ids, pairs.select("field", F.col("x.a").alias("a"), F.col("x.b").alias("b"), F.col("x.n").alias("n"), "y"), ["field", "a", "b"], "n", hot_rows)
-    half = small.select("field", F.col("y.a").alias("a"), F.col("y.b").alias("b"), F.col("y.n").alias("n"), F.col("id").alias("other"))
-    both = salted_join(ids, half, ["field", "a", "b"], "n", hot_rows)
-    return both.select("field", F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b"))
+    return keys, cut(formed.unionAll(ascii_values.select("field", "a", "b", "n", F.col("a").alias("fa"), F.col("b").alias("fb"))))
+
+
+def same_looking_classes(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """rows(field, id, value): (field, id, class_id, spellings) of every row that some row of another spelling looks
+    like; class_id is the smallest id of the class. One row a row, however many pairs there are."""
+    keys, every = _spellings(rows)
+    many = every.groupBy("field", "fa", "fb").agg(F.count(F.lit(1)).alias("spellings")).filter("spellings > 1")
+    shown_by = every.join(many, ["field", "fa", "fb"])
+    first = salted_join(keys.select("field", "a", "b", "id"), shown_by, ["field", "a", "b"], "n", hot_rows)
+    first = cut(first)
+    least = first.groupBy("field", "fa", "fb").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n"))
+    return salted_join(first, least, ["field", "fa", "fb"], "n", hot_rows).select("field", "id", "class_id", "spellings")
 
 
 def _fields(spark: SparkSession, folder: str) -> DataFrame:
@@ -180,10 +275,15 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return same_looking_pairs(_fields(spark, folder))
 
 
+def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """(field, id, class_id, spellings): the classes of same-looking values that p2_found gives the pairs of."""
+    return same_looking_classes(_fields(spark, folder))
+
+
 def p2_forms(spark: SparkSession, folder: str) -> DataFrame:
-    """(result_id, url_form): results.url in its consistent form."""
-    return consistent(table(spark, folder, "results").select("result_id", "url"), "url", "url_form").select("result_id", "url_form")
+    """(field, id, form): the values of the three fields in their consistent form."""
+    return consistent(_fields(spark, folder), "value", "form").select("field", "id", "form")
 
 
-QUERIES = {"p2_found": p2_found, "p2_forms": p2_forms}
+QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p2_forms": p2_forms}
 SQL: dict[str, str] = {}
