@@ -10,9 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import refdata as R
-from .hosts import netloc_facts
+from .hosts import netloc_facts, text_facts
 from .text import SPACE, entropy, refang, strip
 
+#: Escapes that Catalyst's decoder doesn't treat as the rules want: malformed, non-ASCII, or escaped percent signs.
+_HARD = r"[^\x00-\x7f]|%(?![0-7][0-9a-fA-F])|%25"
+
 _SCHEME = r"^([a-zA-Z][a-zA-Z0-9+.\-]*):"
 #: Schemes whose last path segment can carry ';parameters', as the standard URL splitter has them.
 PARAM_SCHEMES = "ftp hdl prospero http https shttp rtsp rtsps sip sips mms sftp tel".split()
@@ -168,12 +171,15 @@ def split_url(df: DataFrame, url: str, keep: list[str]) -> DataFrame:
     return s.select(*keep, "scheme", "netloc", path.alias("path"), params.alias("params"), "query", "fragment")
 
 
-def parse(df: DataFrame, url: str = "url") -> DataFrame:
+def parse(df: DataFrame, url: str = "url", texts: bool = False) -> DataFrame:
     """df with one row's parse columns added (the df must not have columns of these names):
 
     given, cleaned, defanged, special, normalized, explicit, scheme, netloc, path, query, fragment, username, port,
     port_invalid, valid, broken, crashed, host, host_uni, is_ip, ip, obfuscated_ip, ip_private, subdomain, sld, suffix, sub_uni,
     sld_uni, registered_domain, free_hosting, mixed_label, bad_labels, uni_digits.
+    With texts also fold_host, fold_sub, fold_sld (folded as TXT-6 has it), and where Catalyst can't decode the rest
+    (hard_texts) the struct `decoded` of hosts.TEXTS. Both Python functions see columns of one stage: were one to see
+    what another made, all expressions between them would be put into one and evaluated once per use.
     A null URL is treated as ''. `valid` is false where the URL can't be split (`broken`) or has no host.
     """
     keep = df.columns
@@ -188,7 +194,13 @@ def parse(df: DataFrame, url: str = "url") -> DataFrame:
     bare = F.regexp_replace("netloc", "(?s)^.*@", "")
     odd = ~F.col("netloc").rlike(r"^[\x00-\x7f]*$") | F.col("netloc").rlike(r"[\[\]%]|(?i)xn--") | bare.rlike(":.*:")
     s = s.select(*keep, F.substring_index(info, ":", 1).alias("username"), bare.alias("__bare"), odd.alias("__odd"))
-    s = s.withColumn("__f", netloc_facts(F.when(F.col("__odd"), F.col("netloc"))))
+    made = {"__f": netloc_facts(F.when(F.col("__odd"), F.col("netloc")))}
+    if texts:
+        hard = F.concat_ws(" ", "username", "path", "query", "fragment").rlike(_HARD) | F.col("query").rlike(r"[\[\]]|%5[bBdD]")
+        s = s.withColumn("hard_texts", hard)
+        made["decoded"] = text_facts(F.when(F.col("hard_texts"), F.array("path", "query", "fragment", "username")))
+        keep += ["hard_texts", "decoded"]
+    s = s.withColumns(made)
     plain = F.regexp_replace(F.lower(F.substring_index("__bare", ":", 1)), r"\.+$", "")
     port_text = F.when(F.col("__bare").contains("["), F.regexp_extract("__bare", r"\][^:]*:(.*)$", 1)).otherwise(F.regexp_extract("__bare", "(?s)^[^:]*:(.*)$", 1))
     s = s.withColumns({"__host": F.when(F.col("__odd"), F.coalesce("__f.ascii", F.lit(""))).otherwise(plain), "__port": port_text})
@@ -208,8 +220,11 @@ def parse(df: DataFrame, url: str = "url") -> DataFrame:
     labels = F.split("__uni", r"\.")
     below = F.when(F.col("__d.subdomain") == "", 0).otherwise(F.size(F.split("__d.subdomain", r"\.")))
     named = lambda c: F.when(ip, none).otherwise(c)
+    folded = F.when(F.col("__odd"), F.col("__f.folded")).otherwise(labels)
+    folds = {"fold_host": F.when(ok, F.array_join(folded, ".")).otherwise(""), "fold_sub": named(F.array_join(F.slice(folded, 1, below), ".")), "fold_sld": named(F.coalesce(F.get(folded, below), F.lit("")))}
     return s.select(
         *keep,
+        *[c.alias(n) for n, c in folds.items() if texts],
         "username",
         F.when((F.col("__n") <= 65535), F.col("__n")).alias("port"),
         ((F.col("__port") != "") & F.coalesce(F.col("__n") > 65535, F.lit(True))).alias("port_invalid"),

@@ -1,12 +1,15 @@
-"""Brand impersonation: each host against all brands, as array functions over one constant array of brands.
+"""Brand impersonation: each host against all brands, as look-ups in constant tables.
 
 The brand list is configuration (48 rows by default), so a row's pairs with all brands stay in the row: no join, no
-shuffle, the same plan on streams. Equality arms compare tokens, folded labels and skeletons; the edit-distance arm
-is reached only behind a length window and a bounded Levenshtein test.
+shuffle, the same plan on streams. Brands that a row can match are looked up: by token and folded label, by skeleton,
+and by the label's length for the edit distance, behind a bounded Levenshtein test. Only those, mostly none, are rated.
 """
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,39 +58,45 @@ def osa(a: Column, b: Column) -> Column:
     return F.when(F.abs(la - lb) > 3, 4).when(la == 0, lb).otherwise(full)
 
 
-def _literal(config: Config) -> Column:
-    return F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("ord"),
-                F.lit(b).alias("brand"),
-                F.array(*map(F.lit, sorted(d))).alias("domains"),
-                F.lit(_skeleton(b)).alias("skeleton"),
-                F.lit(b in R.AMBIGUOUS_BRANDS).alias("ordinary"),
-                F.lit(len(b)).alias("size"),
-            )
-            for i, (b, d) in enumerate(config.brands.items())
-        ]
-    )
+def constant(value, schema: str) -> Column:
+    """A constant of any type; it is parsed once, when the plan is optimised."""
+    return F.from_json(F.lit(json.dumps(value)), schema)
+
+
+def _table(config: Config) -> Column:
+    rows = [{"ord": i, "brand": b, "domains": sorted(d), "skeleton": _skeleton(b), "ordinary": b in R.AMBIGUOUS_BRANDS, "size": len(b)} for i, (b, d) in enumerate(config.brands.items())]
+    return constant(rows, "array<struct<ord: int, brand: string, domains: array<string>, skeleton: string, ordinary: boolean, size: int>>")
+
+
+def _grouped(pairs: list[tuple]) -> dict[str, list[str]]:
+    made: dict[str, list[str]] = {}
+    for key, brand in pairs:
+        made.setdefault(str(key), []).append(brand)
+    return made
+
+
+CANDIDATES = "array<struct<points: int, ord: int, brand: string, rule_id: string>>"
 
 
 def brand_candidates(df: DataFrame, config: Config) -> DataFrame:
     """Adds brands: array<struct<points, ord, brand, rule_id>>, the best candidate of each brand, best brands first."""
     if not config.brands:
-        return df.withColumn("brands", F.array().cast("array<struct<points: int, ord: int, brand: string, rule_id: string>>"))
-    names = F.array(*map(F.lit, config.brands))
-    official = sorted({d for ds in config.brands.values() for d in ds})
-    none = F.array().cast("array<string>")
+        return df.withColumn("brands", F.array().cast(CANDIDATES))
+    brands = list(config.brands)
+    words, by_name = "array<string>", "map<string, array<string>>"
+    names, official = constant(brands, words), sorted({d for ds in config.brands.values() for d in ds})
+    skeletons = constant(_grouped([(_skeleton(b), b) for b in brands]), by_name)
+    close = [(constant(_grouped([(n, b) for b in brands if len(b) >= least for n in range(len(b) - gap, len(b) + gap + 1)]), by_name), bound) for least, gap, bound in ((6, 1, 2), (9, 2, 4))]
+    long = [b for b in brands if len(b) >= 6]
+    none = F.array().cast(words)
     bare = lambda c: F.replace(c, F.lit("-"), F.lit(""))
     dotted = F.concat(F.lit("."), F.col("subdomain"), F.lit("."))
-    # what the brands are compared with, once a row; nearly always empty
     s = df.withColumns(
         {
-            "__own": F.filter(F.array_union(F.array("registered_domain"), F.slice(host_suffixes(F.col("host")), 2, 1 << 20)), lambda x: x.isin(*official)),
             "__in_sub": F.array_intersect(names, tokens(F.col("fold_sub"))),
             "__in_sld": F.array_intersect(names, tokens(F.col("fold_sld"))),
             "__in_path": F.array_intersect(names, "path_tokens"),
-            "__inside": F.when(F.col("subdomain").contains("."), F.filter(F.array(*map(F.lit, official)), lambda d: F.contains(dotted, F.concat(F.lit("."), d, F.lit("."))))).otherwise(none),
+            "__inside": F.when(F.col("subdomain").contains("."), F.filter(constant(official, words), lambda d: F.contains(dotted, F.concat(F.lit("."), d, F.lit("."))))).otherwise(none),
             "__compact": F.concat_ws(" ", F.regexp_replace("fold_sub", "[^a-z0-9]", ""), F.regexp_replace("fold_sld", "[^a-z0-9]", "")),
             # the label as written and without hyphens
             "__r0": F.col("sld_uni"),
@@ -97,6 +106,20 @@ def brand_candidates(df: DataFrame, config: Config) -> DataFrame:
         }
     )
     s = s.withColumns({f"__k{i}": skeleton(F.col(f"__f{i}")) for i in (0, 1)} | {f"__l{i}": F.length(f"__f{i}") for i in (0, 1)})
+
+    def alike(i: int) -> list[Column]:
+        fold = F.col(f"__f{i}")
+        def within(table: Column, bound: int) -> Column:
+            return F.filter(F.try_element_at(table, F.col(f"__l{i}").cast("string")), lambda b: F.levenshtein(fold, b, bound) >= 0)
+
+        near = [within(*c) for c in close]
+        return [F.array_intersect(names, F.array(fold)), F.try_element_at(skeletons, F.col(f"__k{i}")), *near]
+
+    inside = F.when(F.size("__inside") > 0, F.transform(F.filter(_table(config), lambda b: F.arrays_overlap(b["domains"], "__inside")), lambda b: b["brand"]))
+    contained = F.when(F.col("__compact").rlike("|".join(map(re.escape, long)) or "$^"), F.filter(constant(long, words), lambda b: F.contains("__compact", b)))
+    every = [F.col("__in_sub"), F.col("__in_sld"), F.col("__in_path"), contained, inside, *alike(0), *alike(1)]
+    s = s.withColumn("__cand", F.when(~F.col("is_ip"), F.array_distinct(F.flatten(F.array(*[F.coalesce(c, none) for c in every])))).otherwise(none))
+    s = s.withColumn("__own", F.when(F.size("__cand") > 0, F.filter(F.array_union(F.array("registered_domain"), F.slice(host_suffixes(F.col("host")), 2, 1 << 20)), lambda x: x.isin(*official))).otherwise(none))
     rank = {rule: i for i, rule in enumerate(ARMS)}
 
     def arm(rule: str, ordinary: Column | None) -> Column:
@@ -105,25 +128,11 @@ def brand_candidates(df: DataFrame, config: Config) -> DataFrame:
             points = F.when(ordinary, max(ARMS[rule] - WEAKER, LEAST)).otherwise(ARMS[rule])
         return F.struct(points.cast("int").alias("points"), F.lit(-rank[rule]).alias("r"), F.lit(rule).alias("rule_id"))
 
-    def near(b: Column, i: int, exact: bool) -> Column:
-        """Within the edit distance allowed for the brand's length: first by a length window and a bounded test."""
+    def near(b: Column, i: int) -> Column:
+        """Within the edit distance allowed for the brand's length, exactly; only labels of fitting length get there."""
         fold, gap = F.col(f"__f{i}"), F.abs(F.col(f"__l{i}") - b["size"])
-        one = (b["size"] >= 6) & (gap <= 1) & (F.levenshtein(fold, b["brand"], 2) >= 0)
-        two = (b["size"] >= 9) & (gap <= 2) & (F.levenshtein(fold, b["brand"], 4) >= 0)
-        if exact:
-            return F.when(one | two, osa(fold, b["brand"]) <= F.when(two, 2).otherwise(1)).otherwise(F.lit(False))
-        return one | two
-
-    def like(b: Column, i: int) -> Column:
-        return (F.col(f"__f{i}") == b["brand"]) | (F.col(f"__k{i}") == b["skeleton"]) | near(b, i, False)
-
-    def possible(b: Column) -> Column:
-        brand = b["brand"]
-        named = F.array_contains("__in_sub", brand) | F.array_contains("__in_sld", brand) | F.array_contains("__in_path", brand)
-        close = like(b, 0) | F.coalesce(F.col("__f1").isNotNull() & like(b, 1), F.lit(False))
-        inside = (F.size("__inside") > 0) & F.arrays_overlap(b["domains"], "__inside")
-        own = (F.size("__own") > 0) & F.arrays_overlap(b["domains"], "__own")
-        return (named | ((b["size"] >= 6) & F.contains("__compact", brand)) | close | inside) & ~own
+        two = (b["size"] >= 9) & (gap <= 2)
+        return F.when(two | ((b["size"] >= 6) & (gap <= 1)), osa(fold, b["brand"]) <= F.when(two, 2).otherwise(1)).otherwise(F.lit(False))
 
     def one(b: Column) -> Column:
         brand, weak = b["brand"], b["ordinary"]
@@ -133,7 +142,7 @@ def brand_candidates(df: DataFrame, config: Config) -> DataFrame:
             return (
                 F.when((fold == brand) & (F.col(f"__r{i}") != brand), arm("BR-5", None))
                 .when((fold != brand) & (b["size"] >= 4) & (F.col(f"__k{i}") == b["skeleton"]), arm("BR-6", None))
-                .when((fold != brand) & near(b, i, True), arm("BR-7", weak))
+                .when((fold != brand) & near(b, i), arm("BR-7", weak))
             )
 
         named = (
@@ -146,9 +155,10 @@ def brand_candidates(df: DataFrame, config: Config) -> DataFrame:
         best = F.coalesce(best, F.when(F.array_contains("__in_path", brand), arm("BR-8", weak)))
         return F.when(best.isNotNull(), F.struct(best["points"].alias("points"), (-b["ord"]).alias("o"), brand.alias("brand"), best["rule_id"].alias("rule_id")))
 
-    found = F.filter(F.transform(F.filter(_literal(config), possible), one), lambda x: x.isNotNull())
+    rated = F.filter(_table(config), lambda b: F.array_contains("__cand", b["brand"]) & ~F.arrays_overlap(b["domains"], "__own"))
+    found = F.filter(F.transform(rated, one), lambda x: x.isNotNull())
     ordered = F.transform(F.reverse(F.array_sort(found)), lambda x: F.struct(x["points"].alias("points"), (-x["o"]).cast("int").alias("ord"), x["brand"].alias("brand"), x["rule_id"].alias("rule_id")))
-    s = s.withColumn("brands", F.when(F.col("is_ip"), F.array().cast("array<struct<points: int, ord: int, brand: string, rule_id: string>>")).otherwise(ordered))
+    s = s.withColumn("brands", F.when(F.size("__cand") > 0, ordered).otherwise(F.array().cast(CANDIDATES)))
     return s.select(*df.columns, "brands")
 
 

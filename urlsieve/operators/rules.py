@@ -14,17 +14,12 @@ from pyspark.sql import functions as F
 
 from .. import refdata as R
 from ..config import Config
-from ..functions.hosts import fold_all, param_facts
 from ..functions.text import tokens
 from ..functions.urls import ascii_registered_domain, below_any, looks_random
 
 INDICATOR = "struct<seq: int, rule_id: string, category: string, points: int, message: string>"
 _RAW = "array<struct<rule_id: string, category: string, points: int, message: string>>"
 
-#: Escapes that Catalyst's decoder doesn't treat as the rules want: malformed, non-ASCII, or escaped percent signs.
-_HARD = r"[^\x00-\x7f]|%(?![0-7][0-9a-fA-F])|%25"
-
-
 def _decoded(c: Column) -> Column:
     return F.when(c.contains("%"), F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))).otherwise(c)
 
@@ -45,42 +40,37 @@ def listed(df: DataFrame, column: str, names: Iterable[str], out: str) -> DataFr
 
 
 def texts(df: DataFrame, config: Config) -> DataFrame:
-    """Adds fold_host, fold_sub, fold_sld, path_text, query_text (folded, decoded), file_text, embedded, user_text,
-    host_tokens, host_compact, path_tokens, params array<struct<key, domain>>, ip- and allowlist facts."""
-    whole = F.concat("path", F.lit("?"), "query", F.lit("#"), "fragment")
-    hard = F.concat_ws(" ", "host_uni", "username", whole).rlike(_HARD)
-    hard_query = F.col("query").rlike(_HARD) | F.col("query").rlike(r"[\[\]]|%5[bBdD]")
-    s = df.withColumns({"__whole": whole, "__hard": hard, "__hq": hard_query})
-    wanted = F.array(
-        *[F.concat(F.lit(mode), c) for mode, c in (("--", "host_uni"), ("--", "sub_uni"), ("--", "sld_uni"), ("%f", "path"), ("%f", "query"), ("%l", "path"), ("%%", "__whole"), ("%l", "username"))]
-    )
-    s = s.withColumns({"__t": fold_all(F.when(F.col("__hard"), wanted)), "__q": param_facts(F.when(F.col("__hq"), F.col("query")))})
-    plain = [F.lower("host_uni"), F.lower("sub_uni"), F.lower("sld_uni"), F.lower(_decoded(F.col("path"))), F.lower(_decoded(F.col("query"))), F.lower(_decoded(F.col("path"))), F.lower(_decoded(F.col("__whole"))), F.lower(_decoded(F.col("username")))]
-    names = ["fold_host", "fold_sub", "fold_sld", "path_text", "query_text", "file_text", "embedded", "user_text"]
-    s = s.withColumns({n: F.when(F.col("__hard"), F.coalesce(F.get("__t", i), p)).otherwise(p) for i, (n, p) in enumerate(zip(names, plain))})
+    """df, which parse() made with texts, and path_text, query_text (folded, decoded), file_text, embedded, user_text,
+    host_tokens, host_compact, path_tokens, params array<struct<key, domain>>, user_content, allowlisted, texts_failed."""
+    path, query = _decoded(F.col("path")), _decoded(F.col("query"))
+    plain = {"path_text": path, "query_text": query, "file_text": path, "embedded": _decoded(F.concat("path", F.lit("?"), "query", F.lit("#"), "fragment")), "user_text": _decoded(F.col("username"))}
+    s = df.withColumns({n: F.when(F.col("hard_texts"), F.coalesce(F.col(f"decoded.{n}"), F.lower(c))).otherwise(F.lower(c)) for n, c in plain.items()})
     pairs = F.filter(F.split("query", "&"), lambda x: x != "")
 
-    def facts(kv: Column) -> Column:
+    def pair(kv: Column) -> Column:
         value = F.try_url_decode(F.when(kv.contains("="), F.regexp_replace(kv, "(?s)^[^=]*=", "")).otherwise(""))
         host = F.lower(F.regexp_replace(F.regexp_extract(value, r"(?s)^(?:https?:)?//([^/?#]*)", 1), "(?s)^.*@", ""))
-        host = F.regexp_replace(F.substring_index(host, ":", 1), r"\.+$", "")
-        return F.struct(F.lower(F.try_url_decode(F.substring_index(kv, "=", 1))).alias("key"), F.when(host != "", ascii_registered_domain(host)).alias("domain"))
+        return F.struct(F.lower(F.try_url_decode(F.substring_index(kv, "=", 1))).alias("key"), F.regexp_replace(F.substring_index(host, ":", 1), r"\.+$", "").alias("host"))
+
+    def facts(p: Column) -> Column:
+        # only where a redirect parameter leads to is ever asked; p is a variable, so nothing in it is evaluated per use
+        return F.struct(p["key"].alias("key"), F.when((p["host"] != "") & p["key"].isin(R.REDIRECT_PARAMS), ascii_registered_domain(p["host"])).alias("domain"))
 
-    easy = F.transform(F.when(~F.col("__hq"), pairs), facts)
-    given = F.zip_with("__q.keys", "__q.domains", lambda k, d: F.struct(k.alias("key"), d.alias("domain")))
+    easy = F.transform(F.transform(F.when(~F.col("hard_texts"), pairs), pair), facts)
+    given = F.zip_with("decoded.keys", "decoded.domains", lambda k, d: F.struct(k.alias("key"), d.alias("domain")))
     s = s.withColumns(
         {
-            "params": F.coalesce(F.when(F.col("__hq"), given).otherwise(easy), F.array().cast("array<struct<key: string, domain: string>>")),
+            "params": F.coalesce(F.when(F.col("hard_texts"), given).otherwise(easy), F.array().cast("array<struct<key: string, domain: string>>")),
             "host_tokens": F.array_distinct(tokens(F.col("fold_host"))),
             "host_compact": F.regexp_replace("fold_host", "[^a-z0-9]", ""),
             "path_tokens": F.array_union(tokens(F.col("path_text")), tokens(F.col("query_text"))),
-            "texts_failed": F.col("__hard") & F.col("__t").isNull(),
+            "texts_failed": F.coalesce("decoded.failed", F.lit(False)),
             "user_content": below_any(F.col("host"), R.USER_CONTENT_HOSTS),
         }
     )
     s = listed(s, "registered_domain", config.allowlist, "__listed")
     trusted = ~F.col("is_ip") & ~F.col("free_hosting") & ~F.col("user_content") & F.col("__listed")
-    return s.withColumn("allowlisted", trusted).drop("__whole", "__hard", "__hq", "__t", "__q", "__listed")
+    return s.withColumn("allowlisted", trusted).drop("hard_texts", "decoded", "__listed")
 
 
 def _hits(words: list[str], toks: Column, compact: Column | None = None) -> Column:

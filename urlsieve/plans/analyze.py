@@ -22,7 +22,7 @@ _NONE = "array<struct<seq: int, rule_id: string, category: string, points: int,
 
 def facts(df: DataFrame, url: str, config: Config) -> DataFrame:
     """df with parse columns, texts, keywords and g_* rule groups, and `terminal` (T1 .. T5 or null)."""
-    s = parse(df, url)
+    s = parse(df, url, texts=True)
     s = brand_candidates(keywords(texts(s, config), config), config)
     s = brand_indicators(static_groups(s, config))
     return s.withColumn(
