@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: The characters that Python's str.strip() removes, as a Java regex class body.
 SPACE = r"\t-\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
+#: The same characters one by one.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
 #: Literal defanging pairs and what they stand for.
 DEFANG_PAIRS = (
     ("[://]", "://"),
@@ -21,8 +24,8 @@ DEFANG_PAIRS = (
 
 
 def strip(c: Column) -> Column:
-    """Trim all Unicode white space; trim() would remove U+0020 only."""
-    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    """Trim all Unicode white space; without its list of characters, btrim() would remove U+0020 only."""
+    return F.btrim(c, F.lit(SPACES))
 
 
 def undo_pairs(c: Column) -> Column:

@@ -201,7 +201,7 @@ def parse(df: DataFrame, url: str = "url", texts: bool = False) -> DataFrame:
         made["decoded"] = text_facts(F.when(F.col("hard_texts"), F.array("path", "query", "fragment", "username")))
         keep += ["hard_texts", "decoded"]
     s = s.withColumns(made)
-    plain = F.regexp_replace(F.lower(F.substring_index("__bare", ":", 1)), r"\.+$", "")
+    plain = F.rtrim(F.lower(F.substring_index("__bare", ":", 1)), F.lit("."))
     port_text = F.when(F.col("__bare").contains("["), F.regexp_extract("__bare", r"\][^:]*:(.*)$", 1)).otherwise(F.regexp_extract("__bare", "(?s)^[^:]*:(.*)$", 1))
     s = s.withColumns({"__host": F.when(F.col("__odd"), F.coalesce("__f.ascii", F.lit(""))).otherwise(plain), "__port": port_text})
     number = F.when(F.col("__port").rlike("^[0-9]+$"), F.regexp_replace("__port", "^0+(?=.)", ""))
@@ -252,7 +252,7 @@ def parse(df: DataFrame, url: str = "url", texts: bool = False) -> DataFrame:
 
 def canonical_key(url: Column) -> Column:
     """URL-14: key under which block-listed URLs match, whatever their scheme, letter case or trailing slashes."""
-    return F.regexp_replace(F.lower(F.regexp_replace(strip(refang(url)), "(?i)^[a-z][a-z0-9+.-]*://", "")), "/+$", "")
+    return F.rtrim(F.lower(F.regexp_replace(strip(refang(url)), "(?i)^[a-z][a-z0-9+.-]*://", "")), F.lit("/"))
 
 
 def parse_host(df: DataFrame, hostname: str) -> DataFrame:

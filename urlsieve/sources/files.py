@@ -57,7 +57,7 @@ def split_blocklist(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     s = lines.select(strip(F.col("line")).alias("line")).filter((F.col("line") != "") & ~F.col("line").startswith("#")).select(refang(F.col("line")).alias("line"))
     is_url = F.col("line").rlike("[/?]")
     urls = s.filter(is_url).select(canonical_key(F.col("line")).alias("key")).distinct()
-    domains = s.filter(~is_url).select(F.regexp_replace(F.lower("line"), r"\.+$", "").alias("domain")).distinct()
+    domains = s.filter(~is_url).select(F.rtrim(F.lower("line"), F.lit(".")).alias("domain")).distinct()
     return urls, domains
 
 
