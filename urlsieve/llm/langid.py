@@ -222,11 +222,12 @@ def label_codes(label: Column) -> Column:
 def sample(documents: DataFrame) -> list[tuple[str | None, str | None]]:
     """About SAMPLE_DOCS (label, text) pairs with a label in use, as many of each language as there are, chosen by the
     hash of the id: the same at every layout of the table."""
-    usable = documents.withColumn("code", label_codes(F.col("label"))).filter(F.col("code").isNotNull() & (F.length("text") > 0))
+    usable = documents.withColumn("code", label_codes(F.col("label"))).filter("code is not null")
+    # counts of labels alone, so that no text is read for them
     rows = {r.code: r["count"] for r in usable.groupBy("code").count().toLocalIterator()}  # a row a language
     each = SAMPLE_DOCS / len(LANGS)
     limit = F.coalesce(*[F.when(F.col("code") == c, int(min(1.0, each / n) * (1 << 30))) for c, n in rows.items()], F.lit(0))
-    chosen = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < limit)
+    chosen = usable.filter((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < limit) & (F.length("text") > 0))
     # the hash share is about SAMPLE_DOCS; the bound holds for any distribution of ids
     return [(r.label, r.text) for r in chosen.select("label", "text").limit(2 * SAMPLE_DOCS).toLocalIterator()]
 

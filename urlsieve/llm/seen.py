@@ -12,6 +12,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,11 +42,12 @@ def entry_keys(df: DataFrame, id_col: str, entry: str) -> DataFrame:
 
 
 def _thin(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Before the shuffle: rows of a hot key behind its first row of the chunk are repeats of that one; they are marked
+    """Before the shuffle: rows without a key are dropped, and rows of a hot key behind its first row of the chunk are repeats of that one; they are marked
     `sure` and spread over all buckets. So no key sends more than HOT rows a chunk to its bucket."""
 
     def emit(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held)
+        t = t.filter(pc.is_valid(t.column("h")))
         at, h, bucket = (t.column(c).to_numpy() for c in ("ord", "h", "bucket"))
         order = np.lexsort((at, h, bucket))
         new = (np.diff(h[order], prepend=0) != 0) | (np.diff(bucket[order], prepend=-1) != 0)
@@ -108,8 +110,8 @@ def probe(keys: DataFrame, total: int, fp_bits: int = FP_BITS, extra: Sequence[s
     """keys(ord bigint, h, h2): (ord) of every row whose key has a row with a smaller ord, by the coded sets.
 
     Smaller ord is earlier; negative ords are known beforehand and come out as well where they repeat. Of rows with one
-    key and one ord the first met is new. total: an upper bound of the rows. Null hashes aren't allowed. Empty keys: no
-    rows. With audit: every row as (ord, h, bucket, *extra, sure, hit, rate, bytes), rate being the theoretical one of
+    key and one ord the first met is new. total: an upper bound of the rows. Null hashes (both) are no keys. Empty keys:
+    no rows. With audit: every row as (ord, h, bucket, *extra, sure, hit, rate, bytes), rate being the theoretical one of
     the set and bytes its size when the row passed; rows marked sure are repeats that never reached a set.
     """
     spark = keys.sparkSession
@@ -124,11 +126,14 @@ def probe(keys: DataFrame, total: int, fp_bits: int = FP_BITS, extra: Sequence[s
 
 
 def feed_keys(spark: SparkSession, folder: str) -> DataFrame:
-    """(ord, h, h2) of the seed (ord -1) and of the feed's lines. Lines without a key are left out."""
+    """(ord, h, h2) of the seed (ord -1) and of the feed's lines; hashes are null for lines without a key.
+
+    No filter here: Spark would carry it down to the scan and work out every key once more for it."""
     feed = entry_keys(table(spark, folder, "blocklist_feed"), "entry_id", "entry")
     seed = table(spark, folder, "blocklist_seed").select(F.lit(-1).cast("bigint").alias("ord"), "kind", F.col("entry_key").alias("key"))
     h, h2 = fingerprint("kind", "key")
-    return feed.unionAll(seed).filter(F.col("kind").isNotNull() & F.col("key").isNotNull()).select("ord", h.alias("h"), h2.alias("h2"))
+    known = F.col("kind").isNotNull() & F.col("key").isNotNull()
+    return feed.unionAll(seed).select("ord", F.when(known, h).alias("h"), F.when(known, h2).alias("h2"))
 
 
 def _rows(spark: SparkSession, folder: str) -> int:
@@ -146,7 +151,7 @@ def audited(keys: DataFrame, total: int, fp_bits: int) -> DataFrame:
     states = cut(probe(keys, total, fp_bits, ["h2"], audit=True))
     lines = states.filter("ord >= 0")
     one = lines.agg(F.count(F.lit(1)).alias("lines"), F.count_if("hit").alias("hits"), F.count_if("sure").alias("sure"), F.avg(F.when(~F.col("hit"), F.col("rate"))).alias("theoretical_rate"))
-    first = keys.groupBy("h", "h2").agg(F.min("ord").alias("ord"))
+    first = keys.filter("h is not null").groupBy("h", "h2").agg(F.min("ord").alias("ord"))
     wrong = lines.filter("hit and not sure").join(first, ["ord", "h", "h2"], "left_semi").agg(F.count(F.lit(1)).alias("false_positives"))
     kept = states.agg(F.count_if(~F.col("hit")).alias("kept"))
     size = states.groupBy("bucket").agg(F.max("bytes").alias("b")).agg(F.coalesce(F.sum("b"), F.lit(0)).alias("filter_bytes"))
