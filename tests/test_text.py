@@ -82,3 +82,54 @@ def test_provider(spark):
     keys = spark.createDataFrame([("a",), ("a",), (None,)], "h string")
     rows = run(keys, "h", "dns_obs", lambda h: {"host": h, "ips": ["9.9.9.9"], "error": None}, 2).collect()
     assert [(r.host, r.ips) for r in rows] == [("a", ["9.9.9.9"])]
+
+
+def test_lookups_end_in_rows():
+    import socket
+    import ssl
+    import time
+    import urllib.error
+
+    from urlsieve.sources import providers as P
+
+    def fails(e):
+        def look(*a, **k):
+            raise e
+
+        return look
+
+    assert P.resolve("x", lookup=fails(socket.gaierror(1, "no")))["error"] == "unknown-name" and P.resolve("x", lookup=lambda *a: [])["error"] == "no-address"
+    assert P.resolve("x", timeout=0.05, lookup=lambda *a: time.sleep(0.3))["error"] == "late"
+    public = lambda *a: [(0, 0, 0, 0, ("9.9.9.9", 0))]
+    assert P.fetch("ftp://x/")["failure"] == "no-web-address" and P.fetch("http://[x/")["failure"] == "unreadable"
+    assert P.fetch("http://x/", lookup=lambda *a: [(0, 0, 0, 0, ("10.0.0.1", 0))])["failure"] == "not-public"
+    assert P.fetch("http://x/", lookup=public, dial=fails(ConnectionRefusedError()))["failure"] == "refused"
+
+    peers = []
+
+    def dialled(answer, bad=False):
+        def dial(request, timeout, trusting):
+            if bad and not trusting:
+                raise ssl.SSLCertVerificationError("self-signed")
+            ours, theirs = socket.socketpair()
+            theirs.sendall(answer)
+            peers.append(theirs)
+            return ours
+
+        return dial
+
+    page = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Length: 5\r\n\r\nhello"
+    row = P.fetch("https://x:8443/a?b", body_limit=4, lookup=public, dial=dialled(page, bad=True))
+    assert (row["status"], row["body"], row["failure"]) == (200, b"hell", None) and "self-signed" in row["tls_error"]
+    row = P.fetch("http://x/", lookup=public, dial=dialled(b"HTTP/1.1 302 Found\r\nLocation: /y\r\nContent-Length: 1\r\n\r\nz"))
+    assert (row["status"], row["location"], row["body"]) == (302, "/y", b"")
+    assert set(row) == {x.split()[0] for x in P._top_level(P.SCHEMAS["hop_obs"])} - {"obs_id", "obs_ts"}
+
+    missing = urllib.error.HTTPError("u", 404, "", {}, None)
+    assert P.registration("x.test", ask=lambda *a, **k: {"events": [{"eventAction": "registration", "eventDate": "2020"}]})["events"] == [{"eventAction": "registration", "eventDate": "2020"}]
+    assert P.registration("x.test", ask=fails(missing))["error"] == "status"
+    assert P.safe_browsing("u", "k", ask=lambda *a: {"matches": [{"threatType": "B"}, {}]})["threat_types"] == ["B", "UNKNOWN"]
+    assert P.engines_report("u", "k", ask=fails(missing)) == {"url": "u", "has_report": False, "malicious": None, "suspicious": None, "error": None}
+    assert P.engines_report("u", "k", ask=lambda *a, **k: {"data": {}})["error"] == "unreadable"
+    assert P.engines_report("u", "k", ask=lambda *a, **k: {"data": {"attributes": {"last_analysis_stats": {"malicious": 2}}}})["malicious"] == 2
+    assert P.report_id("http://a/?>") == "aHR0cDovL2EvPz4"
