@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import refdata as R
 from ..config import Options, get_default_config
 from ..functions.text import entropy, refang, strip, tokens
-from ..functions.urls import canonical_key, domain_parts, normalized, parse, special_scheme, split_url
+from ..functions.urls import PRIVATE_V4, PUBLIC_V4, canonical_key, domain_parts, normalized, parse, special_scheme, split_url
 from ..operators import network
 from ..operators.blocklist import match_hosts
 from ..operators.evaluate import SWEEP, metrics
@@ -211,6 +211,16 @@ _SPLIT = f"""p AS (SELECT result_id, normalized, lower(regexp_extract({_U}, {_RX
   q AS (SELECT *, scheme IN ('ftp', 'hdl', 'prospero', 'http', 'https', 'shttp', 'rtsp', 'rtsps', 'sip', 'sips', 'mms', 'sftp', 'tel') AND regexp_matches(p, {_LAST}) AS has FROM p),
   s AS (SELECT result_id, normalized, scheme, netloc, CASE WHEN has THEN regexp_extract(p, {_LAST}, 1) ELSE p END AS path,
         CASE WHEN has THEN regexp_extract(p, {_LAST}, 2) ELSE '' END AS params, query, fragment FROM q)"""
+
+
+def _as_number(ip: str) -> int:
+    a, b, c, d = map(int, ip.split("."))
+    return ((a * 256 + b) * 256 + c) * 256 + d
+
+
+#: Conditions on an IPv4 address as a number, ipn.
+_V4_PRIVATE = " OR ".join(f"ipn BETWEEN {_as_number(f)} AND {_as_number(f) + 2 ** (32 - bits) - 1}" for f, bits in PRIVATE_V4)
+_V4_PUBLIC = ", ".join(str(_as_number(x)) for x in PUBLIC_V4)
 _BAD = f"coalesce(classification IN ('{R.CLASS_HIGH}', '{R.CLASS_INVALID}'), false)"
 _METRICS = f"""t AS (SELECT unnest(range(5, 100, 5)){{more}}::INTEGER AS threshold),
   m AS (SELECT threshold, count(*) FILTER (WHERE bad AND hit)::INTEGER AS tp, count(*) FILTER (WHERE NOT bad AND hit)::INTEGER AS fp,
@@ -278,4 +288,33 @@ SQL = {
         WITH o AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY obs_ts DESC NULLS LAST, obs_id DESC) AS rn FROM dns_obs WHERE host IS NOT NULL)
         SELECT host, array_to_string(list_sort(list_distinct(list_filter(coalesce(ips, []), lambda x: x IS NOT NULL))), ' ') AS ips, error FROM o WHERE rn = 1
     """,
+    "csv_cells": r"""
+        WITH c AS (SELECT result_id, array_to_string(list_transform(string_split(url, ''), lambda x: CASE WHEN NOT regexp_matches(x, '[\p{Cc}\p{Cf}\p{Zl}\p{Zp}]') THEN x
+                     WHEN unicode(x) <= 255 THEN '\x' || printf('%02x', unicode(x)) ELSE '\u' || printf('%04x', unicode(x)) END), '') AS c FROM results)
+        SELECT result_id, CASE WHEN c[1] IN ('=', '+', '-', '@') THEN chr(39) || c ELSE c END AS cell FROM c
+    """,
+    "dns_rules": f"""
+        WITH o AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY obs_ts DESC NULLS LAST, obs_id DESC) AS rn FROM dns_obs WHERE host IS NOT NULL),
+        l AS (SELECT host, error, list_distinct(list_filter(coalesce(ips, []), lambda x: x IS NOT NULL)) AS ips FROM o WHERE rn = 1),
+        a AS (SELECT host, unnest(ips) AS ip FROM l),
+        p AS (SELECT host, ip, CASE WHEN regexp_matches(ip, '^(::ffff:)?[0-9.]+$') THEN list_reduce(list_transform(string_split(replace(ip, '::ffff:', ''), '.'), lambda x: x::BIGINT), lambda x, y: x * 256 + y) END AS ipn FROM a),
+        g AS (SELECT host, bool_or(coalesce(({_V4_PRIVATE}) AND ipn NOT IN ({_V4_PUBLIC}), regexp_matches(ip, '^(2001:db8:|::1?$|fe[89ab]|f[cd])'))) AS inner_ip FROM p GROUP BY host),
+        f AS (SELECT host, ips, error IS NOT NULL OR len(ips) = 0 AS failed, coalesce(inner_ip, false) AS inner_ip FROM l LEFT JOIN g USING (host))
+        SELECT host, 'N01' AS rule_id, 'dns' AS category, 8 AS points FROM f WHERE failed
+        UNION ALL SELECT host, 'N02', 'dns', 10 FROM f WHERE NOT failed AND inner_ip
+        UNION ALL SELECT host, 'N03', 'dns', 5 FROM f WHERE NOT failed AND len(ips) > 8
+    """,
+    "rdap_ages": f"""
+        WITH o AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY obs_ts DESC NULLS LAST, obs_id DESC) AS rn FROM rdap_obs WHERE domain IS NOT NULL),
+        l AS (SELECT domain, error, events FROM o WHERE rn = 1),
+        e AS (SELECT domain, unnest(events) AS e, generate_subscripts(events, 1) AS i FROM l),
+        d AS (SELECT domain, i, e.eventDate AS d FROM e WHERE e.eventAction = 'registration'
+                AND regexp_full_match(e.eventDate, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}([T ][0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}(Z|[+-][0-9]{{2}}:[0-9]{{2}})?)?')),
+        t AS (SELECT domain, i, try_cast(substr(d, 1, 19) AS TIMESTAMP) - to_minutes(CASE WHEN length(d) > 20
+                THEN (CASE WHEN substr(d, 20, 1) = '-' THEN -1 ELSE 1 END) * (substr(d, 21, 2)::INTEGER * 60 + substr(d, 24, 2)::INTEGER) ELSE 0 END) AS t FROM d),
+        r AS (SELECT domain, arg_min(t, i) AS t FROM t WHERE t IS NOT NULL GROUP BY domain),
+        a AS (SELECT domain, CASE WHEN error IS NULL AND t IS NOT NULL THEN greatest(floor((epoch_us(TIMESTAMP '{NOW}') - epoch_us(t)) / 86400000000), 0)::INTEGER END AS age, error FROM l LEFT JOIN r USING (domain)),
+        x AS (SELECT domain, age, coalesce(error, CASE WHEN age IS NULL THEN 'no registration date' END) AS error FROM a)
+        SELECT domain, age, error, CASE WHEN error IS NOT NULL THEN 'N33' WHEN age < 30 THEN 'N30' WHEN age < 90 THEN 'N31' WHEN age < 180 THEN 'N32' END AS rule_id FROM x
+    """,
 }

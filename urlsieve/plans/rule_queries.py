@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from .. import refdata as R
 from ..config import get_default_config
 from ..functions.text import refang
-from ..functions.urls import PRIVATE_V4, PUBLIC_V4, parse
+from ..functions.urls import parse
 from ..runtime import table
 from .analyze import analyze
-from .queries import _CLEAN, _NORM, _SPLIT, _list, _refang
+from .queries import _CLEAN, _NORM, _SPLIT, _V4_PRIVATE, _V4_PUBLIC, _list, _refang
 
 _PLAIN = r"^[\x01-\x7f]*$"
 _BEYOND = r"(?i)xn--|%[89a-f]|%5[bd]|%00|[\[\]]"
@@ -98,12 +98,6 @@ def _decode(x: str) -> str:
     return f"url_decode(replace({x}, '+', '%2B'))"
 
 
-def _value(ip: str) -> int:
-    a, b, c, d = map(int, ip.split("."))
-    return ((a * 256 + b) * 256 + c) * 256 + d
-
-
-_PRIVATE = " OR ".join(f"ipn BETWEEN {_value(f)} AND {_value(f) + 2 ** (32 - bits) - 1}" for f, bits in PRIVATE_V4)
 _CASES = ", ".join(f"({-1 - i}, {_quoted([u])})" for i, u in enumerate(CASES))
 _OCTAL = "list_reduce(list_transform(string_split(x, ''), lambda d: d::HUGEINT), lambda a, d: a * 8 + d)"
 _DIGITS = "list_position(string_split('0123456789abcdef', ''), d) - 1"
@@ -125,7 +119,7 @@ _HOSTS = f"""
                 CASE WHEN is_ip OR len(l) < 2 THEN '' ELSE array_to_string(l[len(l) - k + 1:len(l)], '.') END AS suffix FROM h4),
   hosts AS (SELECT *, CASE WHEN is_ip THEN host WHEN suffix = '' THEN sld ELSE sld || '.' || suffix END AS reg,
                    is_ip AND NOT regexp_matches(host, '^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\\.|$)){{4}}$') AS odd_ip,
-                   is_ip AND ({_PRIVATE}) AND ipn NOT IN ({", ".join(str(_value(x)) for x in PUBLIC_V4)}) AS private FROM h5)"""
+                   is_ip AND ({_V4_PRIVATE}) AND ipn NOT IN ({_V4_PUBLIC}) AS private FROM h5)"""
 
 #: Parsed URLs with the facts of their hosts.
 _PARSED = f"""
