@@ -17,7 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import fingerprint, undo_pairs
+from ..functions.text import DEFANG_PAIRS, fingerprint, undo_pairs
 from ..operators.skew import HOT_ROWS, salted_join
 from ..runtime import cut, table
 
@@ -234,4 +234,33 @@ def p5_normalized_records(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_records": p5_records, "p5_normalized_records": p5_normalized_records}
-SQL: dict[str, str] = {}
+
+
+def _undone(x: str) -> str:
+    for old, new in DEFANG_PAIRS:
+        x = f"replace({x}, '{old}', '{new}')"
+    return rf"regexp_replace({x}, '\[dot\]|\(dot\)', '.', 'g')"
+
+
+def _canonical(column: str) -> str:
+    """CTE k(result_id, t): canonical_url() of a column. The square brackets of an address are set aside while marks go."""
+    return rf"""
+        a AS (SELECT result_id, regexp_replace({_undone(rf"regexp_replace(lower({column}), '[\t\n\x0b\f\r ]+', '', 'g')")}, '\[([0-9a-f:.]+)\]', chr(2) || '\1' || chr(3), 'g') AS u FROM results),
+        b AS (SELECT result_id, regexp_replace(regexp_replace(u, '^[''"`<(\[{{,;.!]+', ''), '[''"`>)\]}},;.!?#&/]+$', '') AS u FROM a),
+        c AS (SELECT result_id, regexp_replace(replace(replace(u, chr(2), '['), chr(3), ']'), '^hxxp', 'http') AS u FROM b),
+        d AS (SELECT *, regexp_matches(u, '^[a-z][a-z0-9+.-]*://') AS has FROM c),
+        e AS (SELECT result_id, u, CASE WHEN has THEN split_part(u, '://', 1) ELSE 'http' END AS scheme, CASE WHEN has THEN regexp_replace(u, '^[a-z][a-z0-9+.-]*://', '') ELSE ltrim(u, '/') END AS r FROM d),
+        f AS (SELECT *, split_part(r, '#', 1) AS w, regexp_replace(regexp_extract(r, '(?s)#+(.*)$', 1), '#+', '#', 'g') AS fragment FROM e),
+        g AS (SELECT *, split_part(w, '?', 1) AS m, array_to_string(list_sort(list_filter(string_split(regexp_extract(w, '(?s)\?+(.*)$', 1), '&'), lambda p: p <> '')), '&') AS query FROM f),
+        h AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(split_part(m, '/', 1), '\.{{2,}}', '.', 'g'), '^\.+', ''), '\.+(:[0-9]*)$', '\1'), '[.:]+$', '') AS host,
+                     trim(regexp_replace(regexp_extract(m, '(?s)/(.*)$', 1), '/+', '/', 'g'), '/') AS path FROM g),
+        k AS (SELECT result_id, CASE WHEN u <> '' THEN concat_ws(chr(1), scheme, host, path, query, fragment) END AS t FROM h)"""
+
+
+_RECORDS = "WITH {0} SELECT min(result_id) AS keep_id, count(*)::BIGINT AS copies FROM k WHERE t IS NOT NULL GROUP BY t UNION ALL SELECT result_id, 1 FROM k WHERE t IS NULL"
+SQL = {
+    "p5_found": f"""WITH {_canonical("url")}, m AS (SELECT min(result_id) OVER (PARTITION BY t) AS keep_id, result_id AS copy_id FROM k WHERE t IS NOT NULL)
+        SELECT keep_id, copy_id FROM m WHERE keep_id < copy_id""",
+    "p5_records": _RECORDS.format(_canonical("url")),
+    "p5_normalized_records": _RECORDS.format(_canonical("normalized_url")),
+}
