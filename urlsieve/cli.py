@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
 from . import __version__
 from .config import Config, Options, load_domain_list
 
 
+#: Observation stages that a scan can have, each an option of its own.
+STAGES = {"dns": "addresses of hosts", "redirects": "where addresses lead", "content": "pages that walks end at", "rdap": "ages of domains"}
+SERVICES = {"gsb": "Safe Browsing", "vt": "VirusTotal"}
+
+
 def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p = argparse.ArgumentParser(prog="urlsieve", description="Explainable URL risk scores on Spark")
     p.add_argument("--version", action="version", version=__version__)
@@ -17,12 +23,19 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     given.add_argument("-u", "--url", action="append", help="URL (repeatable)")
     given.add_argument("-f", "--file", help="list of URLs, - for standard input")
     given.add_argument("--evaluate", nargs=2, metavar=("GOOD", "BAD"), help="labelled lists to rate thresholds with")
-    net = p.add_argument_group("observations (read from --observations; nothing is fetched)")
+    net = p.add_argument_group("observations (recorded ones from --observations, else looked up now)")
     net.add_argument("--observations", metavar="FOLDER", help="folder with dns_obs, hop_obs, rdap_obs, gsb_obs, vt_obs .parquet")
-    for flag in ("offline", "dns", "redirects", "content", "rdap", "full", "gsb", "vt", "allow-private-targets"):
-        net.add_argument(f"--{flag}", action="store_true")
-    net.add_argument("--timeout", type=float, default=Options.timeout)
-    net.add_argument("--max-redirects", type=int, default=Options.max_redirects)
+    net.add_argument("--offline", action="store_true", help="none of them, whatever else is given")
+    net.add_argument("--full", action="store_true", help="all of: " + ", ".join(STAGES))
+    for stage, about in STAGES.items():
+        net.add_argument(f"--{stage}", action="store_true", help=about)
+    for service, about in SERVICES.items():
+        net.add_argument(f"--{service}", action="store_true", help=f"recorded reports of {about}")
+        net.add_argument(f"--{service}-key", metavar="KEY", help=f"ask {about} with this key")
+    net.add_argument("--allow-private-targets", action="store_true")
+    for name in ("timeout", "max_redirects"):
+        default = getattr(Options, name)
+        net.add_argument("--" + name.replace("_", "-"), type=type(default), default=default)
     tune = p.add_argument_group("tuning")
     tune.add_argument("--config", metavar="FILE")
     tune.add_argument("--dump-config", action="store_true")
@@ -47,19 +60,10 @@ def configured(a: argparse.Namespace) -> Config:
 
 
 def options_of(a: argparse.Namespace) -> Options:
-    if a.offline:
-        return Options(timeout=a.timeout, max_redirects=a.max_redirects)
-    return Options(
-        dns=a.dns or a.full,
-        redirects=a.redirects or a.content or a.full,
-        content=a.content or a.full,
-        rdap=a.rdap or a.full,
-        gsb=a.gsb,
-        vt=a.vt,
-        timeout=a.timeout,
-        max_redirects=a.max_redirects,
-        allow_private=a.allow_private_targets,
-    )
+    on = {stage: not a.offline and (a.full or getattr(a, stage)) for stage in STAGES}
+    on["redirects"] |= on["content"]
+    on |= {s: not a.offline and bool(getattr(a, s) or getattr(a, f"{s}_key")) for s in SERVICES}
+    return Options(**on, timeout=a.timeout, max_redirects=a.max_redirects, allow_private=a.allow_private_targets and not a.offline)
 
 
 def _error(text: str) -> int:
@@ -90,7 +94,8 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         spark.sparkContext.setLogLevel("INFO" if a.debug else "ERROR")
     from .operators.evaluate import evaluate
     from .plans.analyze import analyze
-    from .sources import files, sinks
+    from .sources import files, live, sinks
+    from .sources.observations import SCHEMAS
 
     if a.evaluate:
         good, bad = files.read_labelled(spark, *a.evaluate)
@@ -120,9 +125,10 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         print("[!] private targets are allowed", file=sys.stderr)
     observed = {}
     if options.uses_network and a.observations:
-        import os
-
-        observed = {t: spark.read.parquet(p) for t in ("dns_obs", "hop_obs", "rdap_obs", "gsb_obs", "vt_obs") if os.path.exists(p := os.path.join(a.observations, f"{t}.parquet"))}
+        recorded = {t: os.path.join(a.observations, f"{t}.parquet") for t in SCHEMAS}
+        observed = {t: spark.read.parquet(path) for t, path in recorded.items() if os.path.exists(path)}
+    elif options.uses_network:
+        observed = live.observations(urls, "url", options, {s: getattr(a, f"{s}_key") for s in SERVICES}, a.workers or 8)
     blocklist = files.read_blocklist(spark, a.blocklist) if a.blocklist else None
     results = analyze(urls, "url", config, options, ["ord"], blocklist, observed).cache()
     if not a.quiet and a.json != "-":
