@@ -49,6 +49,10 @@ def _run_words() -> int:
 
 
 RUN_WORDS = _run_words()
+#: A longer stretch within the budget has a half within it, which without edits at its ends still has MIN_WORDS words:
+#: stretches of so many words, and so few edits, are all that need to be tried.
+MOST_WORDS = 2 * (MIN_WORDS + MIN_WORDS // EDIT_EVERY) - 1
+MOST_EDITS = MOST_WORDS // EDIT_EVERY
 
 _WORD = re.compile(r"[^\W_]+")
 _ODD = re.compile(r"[^\w\x00-\x7f]+")
@@ -232,9 +236,9 @@ def reach(p: list[str], d: list[str], budget: int) -> list[int]:
 def near(p: list[str], i: int, d: list[str], j: int) -> bool:
     """Whether MIN_WORDS words or more of p in a row, word i at word j of d among them, occur in d with one edit in
     EDIT_EVERY words at most. Edits at the ends don't count as part of the stretch."""
-    budget = len(p) // EDIT_EVERY
-    ahead = reach(p[i:], d[j : j + 2 * (len(p) - i) + budget], budget)
-    behind = reach([x[::-1] for x in p[:i][::-1]], [x[::-1] for x in d[max(0, j - 2 * i - budget) : j][::-1]], budget)
+    budget, far = min(len(p) // EDIT_EVERY, MOST_EDITS), 2 * MOST_WORDS + MOST_EDITS
+    ahead = reach(p[i : i + MOST_WORDS], d[j : j + far], budget)
+    behind = reach([x[::-1] for x in p[max(0, i - MOST_WORDS) : i][::-1]], [x[::-1] for x in d[max(0, j - far) : j][::-1]], budget)
     for e in range(budget + 1):
         size = max(ahead[x] + behind[e - x] for x in range(e + 1))
         if size >= MIN_WORDS and e * EDIT_EVERY <= size:
