@@ -40,6 +40,12 @@ def test_one_url_and_bad_sink(spark, capsys, tmp_path):
     assert json.loads(said)[0]["url"] == "https://example.com/"
 
 
+def test_part_files(spark, capsys, tmp_path):
+    run(spark, capsys, "-u", "https://example.com/", "-u", "javascript:x", "--json", f"{tmp_path}/j/", "--csv", f"{tmp_path}/c/", "--quiet")
+    assert {r.url for r in spark.read.json(f"{tmp_path}/j").collect()} == {"https://example.com/", "javascript:x"}
+    assert spark.read.csv(f"{tmp_path}/c", header=True).count() == 2
+
+
 def test_blocklist_and_allowlist(spark, capsys, tmp_path):
     (tmp_path / "bad.txt").write_text("bad[.]test\nhxxp://good.test/x/\n#c\n")
     (tmp_path / "good.txt").write_text("1,shop.test\n")

@@ -44,8 +44,8 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     tune.add_argument("--medium", type=int)
     tune.add_argument("--high", type=int)
     out = p.add_argument_group("output")
-    out.add_argument("--json", metavar="FILE", help="- for standard output only")
-    out.add_argument("--csv", metavar="FILE")
+    out.add_argument("--json", metavar="FILE", help="- for standard output only; FOLDER/ for part files of JSON lines, written in parallel")
+    out.add_argument("--csv", metavar="FILE", help="FOLDER/ for part files, written in parallel")
     out.add_argument("--verbose", action="store_true")
     out.add_argument("--quiet", action="store_true")
     out.add_argument("--workers", type=int, default=0, help="partitions of the scan (default: Spark's)")
@@ -133,10 +133,10 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     results = analyze(urls, "url", config, options, ["ord"], blocklist, observed).cache()
     if not a.quiet and a.json != "-":
         sinks.print_result(results) if n == 1 else sinks.print_batch(results, a.verbose)
-    for target, write in ((a.json, sinks.write_json), (a.csv, sinks.write_csv)):
+    for target, write, write_parts in ((a.json, sinks.write_json, sinks.write_json_lines), (a.csv, sinks.write_csv, sinks.write_csv_files)):
         if target:
             try:
-                write(results, target)
+                (write_parts if target.endswith("/") else write)(results, target)
             except OSError as e:  # a report that can't be written doesn't change the status
                 print(f"[ERROR] can't write {target}: {e}", file=sys.stderr)
     return int(sinks.fails(results, a.fail_on))
