@@ -24,6 +24,8 @@ from pyspark.sql.window import Window
 from ..runtime import cut, table
 
 CAPACITY = 2048
+#: Largest vocabulary file that is sent to the workers.
+MAX_VOCABULARY = 64 << 20
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Plans that are tried: (groups of equal cardinality among the large sizes, parts of the capacity above which a size is
 #: large). A plan takes a second, so the one with the fewest containers is kept.
@@ -38,19 +40,23 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 
 @functools.lru_cache(maxsize=2)
-def encoding(path: str):
+def encoding(vocabulary: bytes):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_counts(df: DataFrame, id_col: str, text_col: str, path: str = TOKENIZER) -> DataFrame:
-    """(doc_id, tokens): the number of tokens of each whole text; 0 for null and empty."""
+    """(doc_id, tokens): the number of tokens of each whole text; 0 for null and empty.
+
+    The vocabulary is read where the driver is and sent along, so workers need no file.
+    """
+    with open(path, "rb") as f:
+        sent = df.sparkSession.sparkContext.broadcast(f.read(MAX_VOCABULARY))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoding(path)
+        enc = encoding(sent.value)
         for f in frames:
             yield pd.DataFrame({"doc_id": f.iloc[:, 0], "tokens": [len(enc.encode_ordinary(t)) if t else 0 for t in f.iloc[:, 1]]})
 
