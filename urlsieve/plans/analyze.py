@@ -90,7 +90,9 @@ def analyze(
 ) -> DataFrame:
     """DR-2: one result row per row of df, with the columns `keep` of df in front.
 
-    Offline (no blocklist, no network option) the plan has no join and no shuffle, and df may be a stream. blocklist:
+    Offline (no blocklist, no network option, an allowlist that fits the plan) there is no join and no shuffle, and df
+    may be a stream. Filter results behind checkpoint(), cache() or a written table: Spark carries a filter on a result
+    column down to the scan, where it stands for all the rules that make the column. blocklist:
     (URL keys, domains) from sources.files.read_blocklist. observations: tables of sources.observations by name, for
     the network options; now: the time that ages are measured against (default current_timestamp()).
     A null URL gives an invalid result. Columns of df outside `keep` don't matter, whatever their names; columns of

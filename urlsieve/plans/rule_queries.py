@@ -10,16 +10,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import refdata as R
-from ..config import get_default_config
+from ..config import Options, get_default_config
 from ..functions.text import refang
 from ..functions.urls import parse
+from ..operators import network
 from ..runtime import table
+from ..sources.observations import latest
 from .analyze import analyze
-from .queries import _CLEAN, _NORM, _SPLIT, _V4_PRIVATE, _V4_PUBLIC, _list, _refang
+from .queries import _CLEAN, _NORM, _SPLIT, _V4_PRIVATE, _V4_PUBLIC, NOW, _list, _refang
 
 _PLAIN = r"^[\x01-\x7f]*$"
 _BEYOND = r"(?i)xn--|%[89a-f]|%5[bd]|%00|[\[\]]"
 
+_VISIBLE = r"^[\x21-\x7e]*$"
+_BEYOND_WALK = r"(?i)xn--|[\[\]]|^[^/?#]*//[^/?#]*%"
+
 #: URLs beside those of the table, a hit and near misses of each rule.
 CASES = [
     # scheme, length
@@ -77,7 +82,17 @@ def host_parts(spark: SparkSession, folder: str) -> DataFrame:
     return s.filter(F.col("special").isNull()).select("result_id", *shown)
 
 
-QUERIES = {f.__name__: f for f in (rule_hits, rule_scores, host_parts)}
+def plain_walks(spark: SparkSession, folder: str) -> DataFrame:
+    """The walk from every normalized URL over the hops, as redirect_walks, where SQL can read both."""
+    plain = lambda c: c.rlike(_VISIBLE) & ~c.rlike(_BEYOND_WALK)
+    hops = latest(table(spark, folder, "hop_obs"), "url").filter(plain(F.col("url")) & plain(F.coalesce("location", F.lit(""))))
+    dns = network.dns_table({"dns_obs": table(spark, folder, "dns_obs")}, spark)
+    starts = table(spark, folder, "results").select(F.col("normalized_url").alias("start")).filter((F.col("start") != "") & plain(F.col("start"))).distinct()
+    w = network.walk(starts, hops, dns, Options(redirects=True, allow_private=True), F.lit(NOW).cast("timestamp"))
+    return w.select("start", F.array_join("chain", " ").alias("chain"), "reached", "status", F.array_join(F.transform("found", lambda x: x["rule_id"]), " ").alias("rules"))
+
+
+QUERIES = {f.__name__: f for f in (rule_hits, rule_scores, host_parts, plain_walks)}
 
 # ---------------------------------------------------------------- SQL
 
@@ -264,3 +279,43 @@ SQL = {
              subdomain, sld, suffix, reg AS registered_domain, NOT is_ip AND suffix IN ({_list(R.FREE_HOSTING_SUFFIXES)}) AS free_hosting, port, port_text <> '' AND port IS NULL AS port_invalid, username
       FROM p1 JOIN hosts USING (host) WHERE special IS NULL""",
 }
+
+
+_CLEAR = "regexp_replace(regexp_replace({0}, '#$', ''), '\\?(#|$)', '\\1')"
+_READABLE = "regexp_matches({0}, '" + _VISIBLE + "') AND NOT regexp_matches({0}, '" + _BEYOND_WALK + "')"
+SQL["plain_walks"] = rf"""
+    WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY obs_ts DESC NULLS LAST, obs_id DESC) AS rn FROM hop_obs WHERE url IS NOT NULL),
+    hop AS (SELECT *, failure IS NULL AND status IS NOT NULL AS answered, lower(split_part(url, ':', 1)) AS scheme, regexp_extract(url, '^[^:]*:(//[^/?#]*)?', 1) AS place, trim(location) AS loc
+            FROM o WHERE rn = 1 AND {_READABLE.format("url")} AND {_READABLE.format("coalesce(location, '')")}),
+    led AS (SELECT *, CASE WHEN answered AND status IN (301, 302, 303, 307, 308) AND location <> '' THEN
+              CASE WHEN loc = '' THEN url
+                   WHEN regexp_matches(loc, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]') AND lower(split_part(loc, ':', 1)) = scheme THEN scheme || {_CLEAR.format("substr(loc, length(scheme) + 1)")}
+                   WHEN regexp_matches(loc, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN loc
+                   WHEN starts_with(loc, '//') THEN {_CLEAR.format("scheme || ':' || loc")}
+                   WHEN starts_with(loc, '/') THEN {_CLEAR.format("scheme || ':' || place || loc")}
+                   WHEN starts_with(loc, '?') THEN {_CLEAR.format("scheme || ':' || place || regexp_extract(substr(url, length(scheme) + 2 + length(place)), '^[^?#]*') || loc")}
+                   WHEN starts_with(loc, '#') THEN {_CLEAR.format("split_part(url, '#', 1) || loc")}
+                   ELSE {_CLEAR.format("scheme || ':' || place || coalesce(nullif(regexp_extract(substr(url, length(scheme) + 2 + length(place)), '^[^?#]*/'), ''), '/') || loc")} END END AS next FROM hop),
+    starts AS (SELECT DISTINCT normalized_url AS u FROM results WHERE normalized_url <> '' AND {_READABLE.format("normalized_url")}),
+    urls AS (SELECT u, lower(regexp_extract(u, '^([a-zA-Z][a-zA-Z0-9+.-]*):', 1)) AS scheme, lower(split_part(regexp_replace(regexp_extract(u, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), ':', 1)) AS asked
+             FROM (SELECT u FROM starts UNION SELECT next FROM led WHERE next IS NOT NULL)),
+    named AS (SELECT rtrim(asked, '.') AS host FROM urls),
+    {_HOSTS},
+    a AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY obs_ts DESC NULLS LAST, obs_id DESC) AS rn FROM dns_obs WHERE host IS NOT NULL),
+    dns AS (SELECT host AS asked, error IS NULL AND len(list_filter(coalesce(ips, []), lambda x: x IS NOT NULL)) > 0 AS found FROM a WHERE rn = 1),
+    node AS (SELECT u, asked, status, next, answered, tls_error, cert_not_before,
+                    CASE WHEN scheme NOT IN ('http', 'https') OR asked = '' THEN 'N10' WHEN NOT is_ip AND found IS NULL THEN 'N00' WHEN NOT is_ip AND NOT found THEN 'N11' WHEN NOT coalesce(answered, false) THEN 'N13' END AS stop
+             FROM (SELECT urls.u, urls.scheme, urls.asked, is_ip, found, led.status, led.next, led.answered, led.tls_error, led.cert_not_before
+                   FROM urls JOIN hosts ON hosts.host = rtrim(urls.asked, '.') LEFT JOIN dns ON dns.asked = urls.asked LEFT JOIN led ON led.url = urls.u)),
+    w AS (SELECT u AS start, u AS current, [u] AS chain, 0 AS n, []::VARCHAR[] AS found, []::VARCHAR[] AS warned, false AS reached, true AS going, NULL::INTEGER AS status FROM starts
+          UNION ALL
+          SELECT start, CASE WHEN moves THEN next ELSE current END, CASE WHEN moves THEN list_append(chain, next) ELSE chain END, n + 1,
+                 list_concat(found, list_filter([CASE WHEN stop = 'N10' OR stop = 'N13' THEN stop WHEN stop = 'N11' AND n > 0 THEN 'N11' WHEN stop = 'N00' AND n > 0 THEN 'N13' END,
+                   CASE WHEN warns THEN 'N14' END, CASE WHEN stop IS NULL AND cert_not_before IS NOT NULL AND epoch_us(TIMESTAMP '{NOW}') - epoch_us(cert_not_before) < 8 * 86400000000 THEN 'N15' END,
+                   CASE WHEN leads AND n >= 5 THEN 'N16' END, CASE WHEN leads AND n < 5 AND loops THEN 'N17' END], lambda x: x IS NOT NULL)),
+                 CASE WHEN warns THEN list_append(warned, asked) ELSE warned END, reached OR stop IS NULL, moves, CASE WHEN stop IS NULL AND NOT leads THEN here ELSE NULL END
+          FROM (SELECT w.*, asked, stop, cert_not_before, next, node.status AS here, stop IS NULL AND next IS NOT NULL AS leads, coalesce(list_contains(chain, next), false) AS loops,
+                       stop IS NULL AND next IS NOT NULL AND n < 5 AND NOT coalesce(list_contains(chain, next), false) AS moves, stop IS NULL AND coalesce(tls_error, '') <> '' AND NOT list_contains(warned, asked) AS warns
+                FROM w JOIN node ON node.u = w.current WHERE going))
+    SELECT start, array_to_string(chain, ' ') AS chain, reached, status, array_to_string(found, ' ') AS rules FROM w WHERE NOT going
+"""
