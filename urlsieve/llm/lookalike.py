@@ -119,8 +119,9 @@ def shown(ch: str) -> str:
     return parts if parts == ch else "".join(_LOOKS.get(p, "" if _invisible(ord(p), p) else p) for p in parts)
 
 
-def mapping(spark: SparkSession) -> DataFrame:
-    """(ch, parts array<struct<ch, ccc>>) for every character that changes or combines: under 8,000 rows, fixed by Unicode."""
+@cache
+def shown_otherwise() -> list[tuple[str, list[tuple[str, int]]]]:
+    """(character, what it is drawn as with the class of each part) for all that change or combine: under 8,000."""
     rows = []
     for cp in (*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xF900, 0x20000), *range(0x2F800, 0x2FA20), *range(0xE0000, 0xE0200)):
         ch = chr(cp)
@@ -129,7 +130,12 @@ def mapping(spark: SparkSession) -> DataFrame:
         to = shown(ch)
         if to != ch or unicodedata.combining(ch):
             rows.append((ch, [(p, unicodedata.combining(p)) for p in to]))
-    return spark.createDataFrame(rows, "ch string, parts array<struct<ch: string, ccc: int>>")
+    return rows
+
+
+def mapping(spark: SparkSession) -> DataFrame:
+    """(ch, parts array<struct<ch, ccc>>): shown_otherwise() as a table, fixed by Unicode."""
+    return spark.createDataFrame(shown_otherwise(), "ch string, parts array<struct<ch: string, ccc: int>>")
 
 
 @cache
@@ -286,4 +292,27 @@ def p2_forms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p2_forms": p2_forms}
-SQL: dict[str, str] = {}
+
+
+def _forms_sql() -> str:
+    """CTE formed(field, id, value, form). The mapping is the same table; ordering and composition are DuckDB's."""
+    rows = ", ".join(f"('{ch}', '{''.join(p for p, _ in parts).replace(chr(39), chr(39) * 2)}', {[c for _, c in parts]}::INTEGER[])" for ch, parts in shown_otherwise())
+    return f"""
+        fields AS (SELECT 'results.url' AS field, result_id AS id, url AS value FROM results UNION ALL SELECT 'results.hostname_unicode', result_id, hostname_unicode FROM results
+                   UNION ALL SELECT 'hostinfo.host_uni', host_id, host_uni FROM hostinfo),
+        m(ch, shown, ccc) AS (VALUES {rows}),
+        v AS (SELECT DISTINCT value FROM fields WHERE regexp_matches(value, '[^\x00-\x7f]')),
+        c AS (SELECT value, unnest(string_split(value, '')) AS ch, generate_subscripts(string_split(value, ''), 1) AS pos FROM v),
+        d AS (SELECT value, pos, coalesce(shown, ch) AS shown, coalesce(ccc, [0]) AS ccc FROM c LEFT JOIN m USING (ch)),
+        e AS (SELECT value, pos, unnest(string_split(shown, '')) AS part, unnest(ccc) AS ccc, unnest(range(1, len(ccc) + 1)) AS sub FROM d WHERE shown <> ''),
+        s AS (SELECT *, sum((ccc = 0)::INTEGER) OVER (PARTITION BY value ORDER BY pos, sub) AS seg FROM e),
+        r AS (SELECT value, nfc_normalize(string_agg(part, '' ORDER BY seg, ccc, pos, sub)) AS form FROM s GROUP BY value),
+        formed AS (SELECT field, id, f.value, CASE WHEN v.value IS NULL THEN f.value ELSE coalesce(form, '') END AS form FROM fields f LEFT JOIN v ON v.value = f.value LEFT JOIN r ON r.value = f.value)"""
+
+
+SQL = {
+    "p2_forms": f"WITH {_forms_sql()} SELECT field, id, form FROM formed",
+    "p2_found": f"WITH {_forms_sql()} SELECT a.field, a.id AS id_a, b.id AS id_b FROM formed a JOIN formed b ON a.field = b.field AND a.form = b.form AND a.value <> b.value AND a.id < b.id",
+    "p2_classes": f"""WITH {_forms_sql()}, k AS (SELECT field, form, min(id) AS class_id, count(DISTINCT value) AS spellings FROM formed WHERE value IS NOT NULL GROUP BY field, form HAVING count(DISTINCT value) > 1)
+        SELECT field, id, class_id, spellings FROM formed JOIN k USING (field, form)""",
+}
