@@ -16,7 +16,7 @@ from ..operators.evaluate import best as best_row
 from ..operators.rules import catalogue, group_column
 from ..operators.score import classify, compute_score
 from ..operators.skew import lookup_join
-from ..runtime import table
+from ..runtime import cut, table
 from ..sources.files import first_occurrences, split_blocklist
 from ..sources.observations import latest
 from ..sources.sinks import csv_safe
@@ -112,7 +112,8 @@ def blocklist_hits(spark: SparkSession, folder: str) -> DataFrame:
     seed = table(spark, folder, "blocklist_seed")
     urls = urls.unionAll(seed.filter("kind = 'url'").select("entry_key")).distinct()
     domains = domains.unionAll(seed.filter("kind = 'domain'").select("entry_key")).distinct()
-    r = table(spark, folder, "results").select("result_id", F.coalesce("hostname", F.lit("")).alias("host"), canonical_key(F.col("normalized_url")).alias("key"))
+    r = cut(table(spark, folder, "results").select("result_id", F.coalesce("hostname", F.lit("")).alias("host"), canonical_key(F.col("normalized_url")).alias("key")))
+    urls, domains = cut(urls), cut(domains)
     by_url = lookup_join(r.select("result_id", "key"), urls.withColumn("hit", F.lit("url")), "key", how="inner").select("result_id", "hit")
     by_host = lookup_join(r.select("result_id", "host"), match_hosts(r.select("host"), domains), "host", how="inner").select("result_id", F.col("domain").alias("hit"))
     rest = by_host.join(by_url.select("result_id"), "result_id", "left_anti")  # one row an id on both sides
